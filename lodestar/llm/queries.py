@@ -28,7 +28,31 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(sf_dir, "documents", spark), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts)}
+def op4_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.media_gif import gif_digests
+
+    return gif_digests(table(sf_dir, "documents", spark))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(sf_dir, "documents", spark), table(sf_dir, "labels", spark))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.quality import quality_scores
+
+    return quality_scores(table(sf_dir, "documents", spark), table(sf_dir, "labels", spark))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.pii import find_pii
+
+    return find_pii(table(sf_dir, "documents", spark))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op4_media_gif, op5_toxicity, op6_quality, op10_pii)}
 
 SQL = {
     "op1_line_dedup": r"""
