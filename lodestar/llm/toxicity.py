@@ -10,6 +10,7 @@ there are. A hit counts less when its window shows it to be quoted or talked abo
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import batch_of, documents, id_back, id_remainder, slices, spark_schema, text_bytes, tune
+from lodestar.llm.common import batch_of, documents, id_back, id_remainder, slices, spark_schema, text_bytes, tune, word_spans
 from lodestar.llm.quality import training_labels
 
 #: Labelled rows of each class that the lexicon is learned from, at most.
@@ -36,12 +37,18 @@ _WINDOW = 40
 
 @dataclass
 class Lexicon:
-    """Terms with their weights, the words next to a term that are no misspelling of it, and the bias."""
+    """Terms with their weights, the words next to a term that are no misspelling of it, and how sums become scores.
+
+    The logit of a text whose hits weigh ``s`` among ``w`` words is
+    ``bias + slope * s + slope_long * s * log(1 + w)``.
+    """
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     innocent: frozenset[str] = frozenset()
     bias: float = -3.0
+    slope: float = 1.0
+    slope_long: float = 0.0
     fuzzy_share: float = 0.7
     quoted_share: float = 0.25
 
@@ -164,11 +171,11 @@ def quoted(before: str, after: str) -> bool:
     return opened or close or any(w in _REPORTING for w in _WORD.findall(before)[-4:])
 
 
-def text_scores(lexicon: Lexicon, machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Scores of lower-case texts: the logistic of the bias plus the weights of the hits in context."""
-    terms, weights = lexicon.terms(), [*lexicon.words.values(), *lexicon.stems.values()]
-    logit = np.full(len(offsets) - 1, lexicon.bias)
-    seen: set[tuple[int, int]] = set()
+def hit_sums(lexicon: Lexicon, machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each lower-case text: the weights of its hits in context, summed, and its words."""
+    weights = [*lexicon.words.values(), *lexicon.stems.values()]
+    sums = np.zeros(len(offsets) - 1)
+    seen: set[tuple[int, bytes]] = set()
     for row, a, b, term, distance in zip(*find_terms(machine, data, offsets), strict=True):
         weight = weights[term]
         if distance:
@@ -180,20 +187,42 @@ def text_scores(lexicon: Lexicon, machine: Automaton, data: np.ndarray, offsets:
         after = data[b : min(offsets[row + 1], b + _WINDOW)].tobytes().decode(errors="ignore")
         if quoted(before, after):
             weight *= lexicon.quoted_share
-        elif (row, term) in seen:
-            weight *= 0.5
+        elif (key := (row, data[a:b].tobytes())) in seen:
+            weight *= 0.25
         else:
-            seen.add((row, term))
-        logit[row] += weight
+            seen.add(key)
+        sums[row] += weight
+    return sums, np.bincount(word_spans(data, offsets)[2], minlength=len(sums)).astype(float)
+
+
+def text_scores(lexicon: Lexicon, machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Scores of lower-case texts, between 0 and 1."""
+    sums, words = hit_sums(lexicon, machine, data, offsets)
+    logit = lexicon.bias + sums * (lexicon.slope + lexicon.slope_long * np.log1p(words))
     return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
+def _calibrate(sums: np.ndarray, words: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> tuple[float, float, float]:
+    """Logistic regression of the label on the sum and the sum by length, by Newton steps."""
+    x = np.column_stack([np.ones(len(sums)), sums / 8, sums * np.log1p(words) / 50])
+    beta = np.array([-3.0, 1.0, 0.0])
+    penalty = ridge * np.diag([0.1, 1.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + penalty, x.T @ (labels - p) - penalty @ beta)
+        beta = beta + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(beta[0]), float(beta[1] / 8), float(beta[2] / 50)
+
+
 def _lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pa.array([t.lower() for t in col.to_pylist()], pa.string()))
 
 
 _TERMS = pa.schema([("word", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
-_COVER = pa.schema([("terms", pa.list_(pa.string()))])
+_COVER = pa.schema([("near", pa.string()), ("terms", pa.list_(pa.string()))])
+_SUMS = pa.schema([("s", pa.float64()), ("w", pa.float64()), ("label", pa.int32())])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,32 +241,32 @@ def _counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
     return batch_of(_TERMS, words, [counts[0][w] for w in words], [counts[1][w] for w in words])
 
 
-def _cover(candidates: list[str], docs: list[list[str]], least: int) -> list[str]:
-    """Greedy cover: the term in most texts not yet explained, again and again.
+def _cover(candidates: list[str], docs: list[list[str]], least: int, times: int = 3) -> list[str]:
+    """Greedy cover: the term in most texts not yet explained, until each is explained ``times`` times.
 
-    Words that only accompany the real terms (a repeated text's rare words) get nothing of their own.
+    Words that only accompany the real terms get nothing of their own.
     """
     holders = defaultdict(set)
     for k, terms in enumerate(docs):
         for t in terms:
             holders[t].add(k)
-    chosen = []
-    alive = {t: holders[t] for t in candidates if t in holders}
+    chosen, need = [], Counter({k: times for k in range(len(docs))})
+    alive = {t: holders[t] for t in candidates if len(holders.get(t, ())) >= least}
     while alive and len(chosen) < MAX_TERMS:
         best = max(alive, key=lambda t: (len(alive[t]), len(t), t))
-        if len(alive[best]) < least:
-            break
         chosen.append(best)
-        covered = set(alive[best])
-        alive = {t: left for t, h in alive.items() if t != best and len(left := h - covered) >= least}
+        need.subtract(alive[best])
+        done = {k for k in alive[best] if need[k] <= 0}
+        alive = {t: left for t, h in alive.items() if t != best and len(left := h - done if done else h) >= least}
     return chosen
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, least: int = 5) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, least: int = 5, most: float = 0.15) -> Lexicon:
     """A lexicon from at most ``max_labelled`` labelled rows of each class, picked by a hash of the id.
 
-    A term must be in ``least`` toxic texts that no better term explains and be nearly absent
-    from the others. Without toxic rows the lexicon is empty.
+    A term must be in ``least`` toxic texts that no better term explains and occur in the
+    others at no more than ``most`` of its share. Near copies among the toxic texts (the same four
+    least word hashes) count once. Without toxic rows the lexicon is empty.
     """
     known = training_labels(labels, "toxic")
     sample = None
@@ -252,7 +281,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     if not n1:
         return Lexicon(bias=-3.0)
     counts = rows.mapInArrow(_term_counts, spark_schema(_TERMS)).groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
-    rare = F.col("n0") * n1 <= F.col("n1") * n0 * 0.02
+    rare = F.col("n0") * n1 <= F.col("n1") * n0 * most
     words = counts.where((F.col("n1") >= least) & (F.length("word") >= 3) & rare)
     stems = counts.where(F.length("word") >= STEM.start).select(F.explode(F.sequence(F.lit(STEM.start), F.least(F.lit(STEM.stop - 1), F.length("word")))).alias("size"), "word", "n0", "n1")
     stems = stems.groupBy(F.substring("word", 1, F.col("size")).alias("word")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("forms")).where((F.col("n1") >= 4 * least) & (F.col("forms") >= 4) & rare)
@@ -264,23 +293,22 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, near = [], []
             for text in batch.column("text").to_pylist():
-                mine = set()
-                for w in set(_WORD.findall(text.lower())):
+                mine, words = set(), set(_WORD.findall(text.lower()))
+                near.append(repr(sorted(zlib.crc32(w.encode()) for w in words)[:4]))
+                for w in words:
                     if w in word_n:
                         mine.add(w)
                     mine.update(f"{w[:k]}*" for k in STEM if w[:k] in stem_n and len(w) >= k)
                 found.append(sorted(mine))
-            yield batch_of(_COVER, found)
+            yield batch_of(_COVER, near, found)
 
-    covers = [r.terms for r in rows.where("label = 1").select("text").mapInArrow(terms_of, spark_schema(_COVER)).collect()]
+    covers = list({r.near: r.terms for r in rows.where("label = 1").select("text").mapInArrow(terms_of, spark_schema(_COVER)).collect()}.values())
     chosen = _cover([*word_n, *(f"{s}*" for s in stem_n)], covers, least)
-    weight = lambda a, b: float(np.clip(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)), 2.0, 9.0))
+    weight = lambda a, b: float(np.clip(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)), 0.5, 9.0))
     found = Lexicon({w: weight(*word_n[w]) for w in chosen if w[-1] != "*"}, {w[:-1]: weight(*stem_n[w[:-1]]) for w in chosen if w[-1] == "*"})
     found.words = {w: v for w, v in found.words.items() if not any(w.startswith(s) for s in found.stems)}
-    bare = sum(not set(c) & set(chosen) for c in covers)
-    found.bias = float(np.clip(np.log((bare + 0.5) / (n0 + 1)), -6.0, -1.0))
     # Words of clean texts that are one edit from a term are words of their own, no misspellings.
     machine = compile_lexicon(found)
 
@@ -293,6 +321,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 
     near = counts.where("n0 > 0").select("word").mapInArrow(neighbours, "word string")
     found.innocent = frozenset(r.word for r in near.limit(100_000).collect())
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch_of(_SUMS, *hit_sums(found, machine, *_lowered(batch.column("text"))), batch.column("label"))
+
+    seen = rows.mapInArrow(sums, spark_schema(_SUMS)).toPandas()
+    found.bias, found.slope, found.slope_long = _calibrate(seen.s.to_numpy(), seen.w.to_numpy(), seen.label.to_numpy())
     counts.unpersist()
     rows.unpersist()
     return found
