@@ -52,13 +52,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(sf_dir, "documents", spark), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.decontam import contaminated
+
+    return contaminated(table(sf_dir, "documents", spark), table(sf_dir, "benchmark", spark))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.pii import find_pii
 
     return find_pii(table(sf_dir, "documents", spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op4_media_gif, op5_toxicity, op6_quality, op7_packing, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op4_media_gif, op5_toxicity, op6_quality, op7_packing, op8_decontamination, op10_pii)}
 
 SQL = {
     "op1_line_dedup": r"""
