@@ -28,6 +28,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(sf_dir, "documents", spark), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(sf_dir, "documents", spark))
+
+
 def op4_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.media_gif import gif_digests
 
@@ -64,7 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(sf_dir, "documents", spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op4_media_gif, op5_toxicity, op6_quality, op7_packing, op8_decontamination, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_ngram_jaccard, op4_media_gif, op5_toxicity, op6_quality, op7_packing, op8_decontamination, op10_pii)}
 
 SQL = {
     "op1_line_dedup": r"""
