@@ -64,13 +64,22 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(sf_dir, "documents", spark), table(sf_dir, "benchmark", spark))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.lm_score import lm_scores
+
+    return lm_scores(table(sf_dir, "documents", spark))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.pii import find_pii
 
     return find_pii(table(sf_dir, "documents", spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_ngram_jaccard, op4_media_gif, op5_toxicity, op6_quality, op7_packing, op8_decontamination, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_token_counts, op3_ngram_jaccard, op4_media_gif, op5_toxicity, op6_quality, op7_packing, op8_decontamination, op9_lm_score, op10_pii)
+}
 
 SQL = {
     "op1_line_dedup": r"""
