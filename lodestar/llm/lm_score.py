@@ -30,8 +30,9 @@ END = np.uint64(0x454E44)
 ALPHA = 0.1
 WINDOW = 32
 LANES = 256
+TRAIN_LANES = 16
 #: One of so many training documents goes to the network (all go to the counts).
-TRAIN_SHARE = 24
+TRAIN_SHARE = 16
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,10 +60,13 @@ class Gru:
 
     NAMES = ("embed", "wx", "wh", "b", "out", "ob")
 
-    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 7):
+    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 7, log_prior: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         shape = {"embed": (CLASSES + 1, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "out": (HIDDEN, CLASSES), "ob": (CLASSES,)}
-        self.w = weights or {k: (rng.standard_normal(s) * (0.0 if k in ("b", "ob") else 1 / np.sqrt(HIDDEN))).astype(np.float32) for k, s in shape.items()}
+        self.w = weights or {k: (rng.standard_normal(s) * (0.0 if k in ("b", "ob", "out") else 1 / np.sqrt(HIDDEN))).astype(np.float32) for k, s in shape.items()}
+        if log_prior is not None:
+            # The untrained network is the unigram model of the classes.
+            self.w["ob"] = log_prior.astype(np.float32)
         self.prepare()
 
     def prepare(self) -> None:
@@ -83,12 +87,15 @@ class Gru:
         s -= s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
-    def gradients(self, h: np.ndarray, last: np.ndarray, window: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
-        """Truncated backpropagation over a window (lanes, steps); -1 ends a lane. Returns the state to carry."""
+    def gradients(self, h: np.ndarray, last: np.ndarray, window: np.ndarray, fresh: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
+        """Truncated backpropagation over a window (lanes, steps); -1 ends a lane, ``fresh`` marks
+        the first tokens of documents. Returns the state to carry."""
         k, grad = HIDDEN, {n: np.zeros_like(v) for n, v in self.w.items()}
         trail, loss, count = [], 0.0, max(1, int((window >= 0).sum()))
         for t in range(window.shape[1]):
             live = window[:, t] >= 0
+            if fresh is not None and fresh[:, t].any():
+                h, last = np.where(fresh[:, t, None], np.float32(0), h), np.where(fresh[:, t], CLASSES, last)
             new, kept = self.step(h, last)
             new = np.where(live[:, None], new, h)
             target = np.maximum(window[:, t], 0)
@@ -98,7 +105,7 @@ class Gru:
             h, last = new, np.where(live, target, last)
         back = np.zeros_like(h)
         d_in = np.zeros_like(self.inputs)
-        for (h0, c, z, r, g, ug), new, p, target, live in reversed(trail):
+        for t, ((h0, c, z, r, g, ug), new, p, target, live) in reversed(list(enumerate(trail))):
             d = p
             d[np.arange(len(p)), target] -= 1
             d *= live[:, None] / count
@@ -114,35 +121,45 @@ class Gru:
             grad["wh"] += h0.T @ du
             np.add.at(d_in, c, dx)
             back = np.where(on, dh * (1 - z) + du @ self.w["wh"].T, back)
+            if fresh is not None:
+                back = back * ~fresh[:, t, None]
         grad["b"] = d_in.sum(0)
         grad["wx"] = self.w["embed"].T @ d_in
         grad["embed"] = d_in @ self.w["wx"].T
         return grad, h, last, loss / count
 
 
-def train(net: Gru, streams: list[np.ndarray], rate: float = 0.01) -> Gru:
-    """One pass of Adam over the class streams of documents, in lanes of windows."""
+def train(net: Gru, streams: list[np.ndarray], rate: float = 0.02) -> Gru:
+    """One pass of Adam over the class streams of documents, laid end to end in lanes of like length."""
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
-    step = 0
-    streams = sorted(streams, key=len)
-    for at in range(0, len(streams), 32):
-        lanes = streams[at : at + 32]
-        size = max(len(x) for x in lanes)
-        grid = np.full((len(lanes), -(-size // WINDOW) * WINDOW), -1)
-        for k, x in enumerate(lanes):
-            grid[k, : len(x)] = x
-        h, last = np.zeros((len(lanes), HIDDEN), np.float32), np.full(len(lanes), CLASSES)
-        for t in range(0, grid.shape[1], WINDOW):
-            grad, h, last, _ = net.gradients(h, last, grid[:, t : t + WINDOW])
-            step += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            for k, g in grad.items():
-                g = g * min(1.0, 5.0 / (norm + 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                net.w[k] = (net.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            net.prepare()
+    lanes: list[list[np.ndarray]] = [[] for _ in range(min(TRAIN_LANES, len(streams)))]
+    filled = np.zeros(len(lanes), np.int64)
+    for x in sorted(streams, key=len, reverse=True):
+        k = int(filled.argmin())
+        lanes[k].append(x)
+        filled[k] += len(x)
+    rng = np.random.default_rng(len(streams))
+    steps = -(-int(filled.max()) // WINDOW)
+    grid, fresh = np.full((len(lanes), steps * WINDOW), -1), np.zeros((len(lanes), steps * WINDOW), bool)
+    for k, docs in enumerate(lanes):
+        at = 0
+        for d in rng.permutation(len(docs)):
+            grid[k, at : at + len(docs[d])] = docs[d]
+            fresh[k, at] = True
+            at += len(docs[d])
+    h, last = np.zeros((len(lanes), HIDDEN), np.float32), np.full(len(lanes), CLASSES)
+    for step in range(1, steps + 1):
+        part = slice((step - 1) * WINDOW, step * WINDOW)
+        grad, h, last, _ = net.gradients(h, last, grid[:, part], fresh[:, part])
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        pace = rate * min(1.0, step / 20) * max(0.05, 1 - step / (steps + 1))
+        for k, g in grad.items():
+            g = g * min(1.0, 1.0 / (norm + 1e-9))
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.99 * v[k] + 0.01 * g * g
+            net.w[k] = (net.w[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        net.prepare()
     return net
 
 
@@ -241,11 +258,11 @@ def _unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
     return {k: out[k] for k in Gru.NAMES}
 
 
-def fit_network(texts: DataFrame, train_share: int = TRAIN_SHARE) -> Gru:
+def fit_network(texts: DataFrame, log_prior: np.ndarray, train_share: int = TRAIN_SHARE) -> Gru:
     """Each partition's network on its share of the training documents, averaged by tokens."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, streams, seen, held = Gru(), [], 0, 0
+        net, streams, seen, held = Gru(log_prior=log_prior), [], 0, 0
         for batch in slices(batches):
             _, c, row = tokens(*text_bytes(batch.column("text")))
             streams += np.split(c, np.flatnonzero(np.diff(row)) + 1)
@@ -261,7 +278,7 @@ def fit_network(texts: DataFrame, train_share: int = TRAIN_SHARE) -> Gru:
     rows = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(train_share)) == 0).select("text").mapInArrow(fit, spark_schema(_WEIGHTS))
     mean = rows.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
     if not mean:
-        return Gru()
+        return Gru(log_prior=log_prior)
     flat = np.zeros(len(mean))
     for r in mean:
         flat[r["at"]] = r.value
@@ -293,7 +310,7 @@ def lm_scores(docs: DataFrame, mod: int = 10, train_share: int = TRAIN_SHARE) ->
         size[r.kind - 1, r["class"]] = r.n
     total, distinct = size.sum(1)
     inside = np.log10(size[0] + ALPHA * (size[1] + 1))
-    net = fit_network(texts.where("training"), train_share)
+    net = fit_network(texts.where("training"), np.log((size[0] + 1) / (size[0] + 1).sum()), train_share)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
