@@ -19,7 +19,7 @@ def split_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def vocabulary(spark: SparkSession, path: str, most: int = 1_000_000) -> dict[str, int]:
     """Token to 0-based line number. One small file, read in order; refused beyond ``most`` lines."""
-    rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
     if len(rows) != 1:
         raise ValueError("a vocabulary is one file")
     lines = rows[0].value.split("\n")
