@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,12 +110,28 @@ def _entries(table: pa.Table, width: type) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(h), np.concatenate(at), np.concatenate(ids), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
 
 
+#: Rows between two shuffles: what a hash range tells a bucket of documents, packed, so that their
+#: number is that of ranges times buckets and not of ranges times documents.
+_TOLD = pa.schema([("g", pa.int32()), ("doc", pa.binary()), ("more", pa.binary()), ("h", pa.binary()), ("df", pa.binary())])
 _META = np.dtype([("doc", np.int64), ("p1", np.int64), ("p2", np.int64), ("n", np.int64)])
-_SHARED = pa.schema([("doc_id", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())])
+_KNOWN = pa.schema([("doc_id", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())])
 
 
-def _shared(docs: DataFrame, words: int) -> DataFrame:
-    """Of each document its prints and set size (n), and in further rows (n null) how many of its shingles have another owner."""
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its ids)."""
+    g = _bucket(ids, buckets)
+    order = np.argsort(g, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(g[order]) != 0]) if len(g) else np.zeros(0, np.int64)
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(g)], strict=False):
+        yield int(g[order[a]]), order[a:b]
+
+
+def _known(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, p1, p2, n, shared): each document's prints, set size, and how many of its shingles have another owner."""
     ranges = partitions(docs.sparkSession)
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +159,12 @@ def _shared(docs: DataFrame, words: int) -> DataFrame:
             yield from flush()
 
     def count(table: pa.Table) -> pa.Table:
-        described = table.filter(pa.compute.is_valid(table.column("sizes")))
-        entries = table.filter(pa.compute.is_null(table.column("sizes")))
-        parts = []
+        described = table.filter(pc.is_valid(table.column("sizes")))
+        entries = table.filter(pc.is_null(table.column("sizes")))
+        rows: list[tuple] = []
         for blob in described.column("owners").to_pylist():
             m = np.frombuffer(blob, _META)
-            parts.append(batch_of(_SHARED, m["doc"].copy(), m["p1"].copy(), m["p2"].copy(), m["n"].copy(), np.zeros(len(m), np.int64)))
+            rows += [(g, None, m[at].tobytes(), None, None) for g, at in _by_bucket(m["doc"].copy(), ranges)]
         if entries.num_rows:
             h, at, ids, _ = _entries(entries, np.uint32)
             key = np.sort(h.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64))
@@ -157,11 +174,29 @@ def _shared(docs: DataFrame, words: int) -> DataFrame:
             more = np.repeat(place[begin] != place[end], end - begin + 1)
             shared = np.bincount(place[more], minlength=len(ids))
             some = np.flatnonzero(shared)
-            none = pa.nulls(len(some), pa.int64())
-            parts.append(batch_of(_SHARED, ids[some], none, none, none, shared[some]))
-        return pa.Table.from_batches(parts, _SHARED)
-
-    return docs.mapInArrow(forward, spark_schema(_BLOBS)).groupBy("r").applyInArrow(count, spark_schema(_SHARED))
+            ids, shared = ids[some], shared[some].astype(np.uint32)
+            rows += [(g, ids[at].tobytes(), shared[at].tobytes(), None, None) for g, at in _by_bucket(ids, ranges)]
+        return pa.Table.from_batches([batch_of(_TOLD, *(zip(*rows, strict=True) if rows else ([] for _ in _TOLD)))], _TOLD)
+
+    def gather(table: pa.Table) -> pa.Table:
+        metas, docs_, counts = [np.zeros(0, _META)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for doc, more in zip(table.column("doc").to_pylist(), table.column("more").to_pylist(), strict=True):
+            if doc is None:
+                metas.append(np.frombuffer(more, _META))
+            else:
+                docs_.append(np.frombuffer(doc, np.int64))
+                counts.append(np.frombuffer(more, np.uint32))
+        meta = np.unique(np.concatenate(metas))
+        doc, count_ = np.concatenate(docs_), np.concatenate(counts)
+        names, at = np.unique(doc, return_inverse=True)
+        sums = np.r_[np.bincount(at, count_, len(names)), 0].astype(np.int64)
+        place = np.searchsorted(names, meta["doc"])
+        found = np.r_[names, 0][place] == meta["doc"] if len(names) else np.zeros(len(meta), bool)
+        shared = np.where(found & (place < len(names)), sums[place], 0)
+        return pa.Table.from_batches([batch_of(_KNOWN, meta["doc"].copy(), meta["p1"].copy(), meta["p2"].copy(), meta["n"].copy(), shared)], _KNOWN)
+
+    told = docs.mapInArrow(forward, spark_schema(_BLOBS)).groupBy("r").applyInArrow(count, spark_schema(_TOLD))
+    return told.groupBy("g").applyInArrow(gather, spark_schema(_KNOWN))
 
 
 _SETS = pa.schema([("rep", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
@@ -180,14 +215,9 @@ def _sets(words: int):
     return sets
 
 
-_OFTEN = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("df", pa.binary())])
 _PREFIX = pa.schema([("h", pa.int64()), ("rep", pa.int64())])
 
 
-def _need(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
-
-
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(h, rep): the shingles of each set's prefix, rare ones first, that have another owner."""
     ranges = partitions(sets.sparkSession)
@@ -206,32 +236,28 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(h)
         h, at = h[order], at[order]
         begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        df = np.repeat(np.diff(np.r_[begin, len(h)]), np.diff(np.r_[begin, len(h)]))
+        runs = np.diff(np.r_[begin, len(h)])
+        df = np.repeat(runs, runs)
         some = df > 1
-        h, at, df = h[some], at[some], df[some]
-        order = np.argsort(at, kind="stable")
-        h, at, df = h[order], at[order], df[order].astype(np.int64)
-        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-        stop = np.r_[cut[1:], len(at)] if len(at) else cut
-        return pa.Table.from_batches([batch_of(_OFTEN, ids[at[cut]], sizes[at[cut]], [h[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], [df[a:b].tobytes() for a, b in zip(cut, stop, strict=True)])], _OFTEN)
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hs, reps = [], []
-            for rep, n, h_parts, df_parts in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "h", "df")), strict=True):
-                h = np.concatenate([np.frombuffer(x, np.uint64) for x in h_parts])
-                df = np.concatenate([np.frombuffer(x, np.int64) for x in df_parts])
-                # The n - len(h) shingles that nobody else has come first and take their places.
-                take = n - _need(n, percent) + 1 - (n - len(h))
-                if take > 0:
-                    chosen = h[np.lexsort((h, df))[:take]]
-                    hs.append(chosen.view(np.int64))
-                    reps.append(np.full(len(chosen), rep))
-            yield batch_of(_PREFIX, np.concatenate(hs) if hs else [], np.concatenate(reps) if reps else [])
-
-    rows = sets.mapInArrow(forward, spark_schema(_BLOBS)).groupBy("r").applyInArrow(often, spark_schema(_OFTEN))
-    whole = rows.groupBy("rep").agg(F.max("n").alias("n"), F.collect_list("h").alias("h"), F.collect_list("df").alias("df"))
-    return whole.mapInArrow(prefix, spark_schema(_PREFIX))
+        h, at, df = h[some], at[some], np.minimum(df[some], 2**32 - 1).astype(np.uint32)
+        reps, sizes = ids[at], sizes[at].astype(np.uint32)
+        rows = [(g, reps[k].tobytes(), sizes[k].tobytes(), h[k].tobytes(), df[k].tobytes()) for g, k in _by_bucket(reps, ranges)]
+        return pa.Table.from_batches([batch_of(_TOLD, *(zip(*rows, strict=True) if rows else ([] for _ in _TOLD)))], _TOLD)
+
+    def prefix(table: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
+        rep, n, h, df = read("doc", np.int64), read("more", np.uint32).astype(np.int64), read("h", np.uint64), read("df", np.uint32)
+        order = np.lexsort((h, df, rep))
+        rep, n, h = rep[order], n[order], h[order]
+        begin = np.flatnonzero(np.r_[True, rep[1:] != rep[:-1]])
+        often_ = np.diff(np.r_[begin, len(rep)])
+        # The n - often shingles that nobody else has come first and take their places in the prefix.
+        take = n - -(-percent * n // 100) + 1 - (n - np.repeat(often_, often_))
+        chosen = np.arange(len(rep)) - np.repeat(begin, often_) < take
+        return pa.Table.from_batches([batch_of(_PREFIX, h[chosen].view(np.int64), rep[chosen])], _PREFIX)
+
+    rows = sets.mapInArrow(forward, spark_schema(_BLOBS)).groupBy("r").applyInArrow(often, spark_schema(_TOLD))
+    return rows.groupBy("g").applyInArrow(prefix, spark_schema(_PREFIX))
 
 
 def links_within(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -358,10 +384,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = 75) -
     """
     tune(docs.sparkSession)
     texts = documents(docs)
-    counted = materialize(_shared(texts, words), "shared")
-    meta = counted.where("n IS NOT NULL").select("doc_id", "p1", "p2", "n").distinct()
-    shared = counted.where("n IS NULL").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    known = materialize(meta.join(shared, "doc_id", "left").fillna(0, ["shared"]), "documents")
+    known = materialize(_known(texts, words), "documents")
     classes = known.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared"))
     classes = materialize(classes, "classes")
     able = classes.where(F.col("shared") * 100 >= F.col("n") * percent).select("rep", "p1", "p2")
