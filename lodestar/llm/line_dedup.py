@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import batch_of, documents, id_back, materialize, partitions, spark_schema, tune
+from lodestar.llm.common import NULL_ID, batch_of, documents, id_back, materialize, partitions, spark_schema, tune
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("n_lines", pa.int64()), ("at", pa.binary())])
@@ -171,17 +171,18 @@ def _apply(texts, keeps):
     return pd.Series([t if k is None else keep_lines(t.encode(), k).decode() for t, k in zip(texts, keeps, strict=True)])
 
 
-def dedup_lines(docs: DataFrame, text_of: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, all columns and rows kept.
 
     Texts that lose nothing stay as they are, null included; n_chars, if there, is brought up to date.
     """
     names = docs.columns
-    maps = line_keep_bitmaps(docs, **options).select(F.col("doc_id").alias("__doc"), F.col("k").alias("__k"), F.col("keep").alias("__keep"))
+    maps = line_keep_bitmaps(docs, **options).select(F.col("doc_id").alias("id"), "k", "keep").alias("__maps")
     here = docs.alias("__docs")
-    hit = (F.coalesce(F.col("__docs.doc_id").cast("long"), F.lit(-(2**63))) == F.col("__doc")) & (F.xxhash64(F.coalesce(F.col("__docs.text"), F.lit(""))) == F.col("__k"))
-    joined = here.join(maps, hit, "left")
-    new = F.when(F.col("__keep").isNull(), F.col("__docs.text")).otherwise(_apply(F.coalesce(F.col("__docs.text"), F.lit("")), F.col("__keep")))
+    same_id = F.coalesce(F.col("__docs.doc_id").cast("long"), F.lit(NULL_ID)) == F.col("__maps.id")
+    joined = here.join(maps, same_id & (F.xxhash64(F.coalesce(F.col("__docs.text"), F.lit(""))) == F.col("__maps.k")), "left")
+    keep = F.col("__maps.keep")
+    new = F.when(keep.isNull(), F.col("__docs.text")).otherwise(_apply(F.coalesce(F.col("__docs.text"), F.lit("")), keep))
     made = joined.select(*[F.col(f"__docs.`{c}`") if c != "text" else new.alias("text") for c in names])
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else made
 

@@ -410,5 +410,5 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = 75) ->
 
     Of rows that repeat the doc_id that stays, all stay.
     """
-    gone = jaccard_components(docs, words, percent).where("component_id < doc_id OR (component_id IS NULL AND doc_id IS NOT NULL)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = jaccard_components(docs, words, percent).where("component_id < doc_id OR (component_id IS NULL AND doc_id IS NOT NULL)").select(F.col("doc_id").alias("id")).distinct().alias("__copies")
+    return docs.alias("__docs").join(gone, F.col("__docs.doc_id") == F.col("__copies.id"), "left_anti")
