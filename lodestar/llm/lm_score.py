@@ -31,6 +31,9 @@ ALPHA = 0.1
 WINDOW = 32
 LANES = 256
 TRAIN_LANES = 16
+STRETCH = 512
+#: Share of the class unigram in the first factor: it bounds what a strange history can cost a token.
+BLEND = 0.1
 #: One of so many training documents goes to the network (all go to the counts).
 TRAIN_SHARE = 16
 
@@ -130,7 +133,11 @@ class Gru:
 
 
 def train(net: Gru, streams: list[np.ndarray], rate: float = 0.02) -> Gru:
-    """One pass of Adam over the class streams of documents, laid end to end in lanes of like length."""
+    """One pass of Adam over the class streams of documents, laid end to end in lanes of like length.
+
+    Long documents are dealt out in stretches, so that none of them is all that the last steps see.
+    """
+    streams = [part for x in streams for part in np.array_split(x, -(-len(x) // STRETCH))]
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
     lanes: list[list[np.ndarray]] = [[] for _ in range(min(TRAIN_LANES, len(streams)))]
@@ -163,7 +170,7 @@ def train(net: Gru, streams: list[np.ndarray], rate: float = 0.02) -> Gru:
     return net
 
 
-def class_log_likelihood(net: Gru, c: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+def class_log_likelihood(net: Gru, c: np.ndarray, row: np.ndarray, n: int, prior: np.ndarray | None = None) -> np.ndarray:
     """Sums of natural log P(class | history) over whole documents; the state runs from first to last token."""
     count = np.bincount(row, minlength=n)
     first = np.cumsum(count) - count
@@ -181,7 +188,8 @@ def class_log_likelihood(net: Gru, c: np.ndarray, row: np.ndarray, n: int) -> np
             s = h @ net.w["out"] + net.w["ob"]
             top = s.max(1)
             last = c[begin[:live] + t]
-            out[lanes[:live]] += s[np.arange(live), last] - top - np.log(np.exp(s - top[:, None]).sum(1))
+            log = s[np.arange(live), last] - top - np.log(np.exp(s - top[:, None]).sum(1))
+            out[lanes[:live]] += log if prior is None else np.log((1 - BLEND) * np.exp(log) + BLEND * prior[last])
     return out
 
 
@@ -310,13 +318,14 @@ def lm_scores(docs: DataFrame, mod: int = 10, train_share: int = TRAIN_SHARE) ->
         size[r.kind - 1, r["class"]] = r.n
     total, distinct = size.sum(1)
     inside = np.log10(size[0] + ALPHA * (size[1] + 1))
-    net = fit_network(texts.where("training"), np.log((size[0] + 1) / (size[0] + 1).sum()), train_share)
+    prior = (size[0] + 1) / (size[0] + 1).sum()
+    net = fit_network(texts.where("training"), np.log(prior), train_share)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             _, c, row = tokens(*text_bytes(batch.column("text")))
             n = batch.num_rows
-            model = class_log_likelihood(net, c, row, n) / np.log(10) - np.bincount(row, inside[c], n)
+            model = class_log_likelihood(net, c, row, n, prior) / np.log(10) - np.bincount(row, inside[c], n)
             yield batch_of(_SCORED, batch.column("doc_id"), batch.column("k"), np.bincount(row, minlength=n), model)
 
     parts = counted.where("kind = 0").groupBy("doc_id", "k").agg(F.sum("log_counts").alias("log_counts"), F.sum("known").alias("n_known"))
