@@ -14,6 +14,10 @@ from lodestar.functions.vectors import LEAST_NORM, distance
 THRESHOLD = 0.85
 #: Queries that one pass over the base answers: what a task holds besides its batch.
 QUERY_BLOCK = 4096
+#: A base of no more values than this (rows times dimensions, counted first) goes to the queries instead.
+SMALL_BASE = 8_000_000
+#: Distances held at once.
+_CELLS = 4_000_000
 
 
 def nearest(base: DataFrame, vector: list[float], k: int, metric: str = "cosine", threshold: float | None = THRESHOLD, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -47,20 +51,65 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", p
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def nearest_batch(base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest_k(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k best columns of each row of ``d``, by (distance, id)."""
+    if d.shape[1] > k:
+        # Columns up to the k-th distance, ties included, are few: order those alone.
+        cut = np.partition(d, k - 1, 1)[:, k - 1 : k]
+        width = int((d <= cut).sum(1).max())
+        some = np.argpartition(d, width - 1, 1)[:, :width] if width < d.shape[1] else np.broadcast_to(np.arange(width), d.shape)
+        d, ids = np.take_along_axis(d, some, 1), ids[some] if ids.ndim == 1 else np.take_along_axis(ids, some, 1)
+    elif ids.ndim == 1:
+        ids = np.broadcast_to(ids, d.shape)
+    pick = np.lexsort((ids, d))[:, :k]
+    return np.take_along_axis(ids, pick, 1), np.take_along_axis(d, pick, 1)
+
+
+_RANKED = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64()), ("rank", pa.int32())])
+
+
+def _answer_from(base: pa.Table, k: int, metric: str, threshold: float | None):
+    """A function from batches of queries to their ranked answers from a whole base."""
+    ids, vectors = base.column(0).to_numpy(), matrix(base.column(1).combine_chunks())
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _CELLS // max(1, len(ids)))
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(ids) else 0, step):
+                part = batch.slice(at, step)
+                i, d = nearest_k(ids, distances(matrix(part.column(1)), vectors, metric), k)
+                q, rank = np.repeat(part.column(0).to_numpy(), i.shape[1]), np.tile(np.arange(1, i.shape[1] + 1, dtype=np.int32), len(i))
+                i, d = i.ravel(), d.ravel()
+                keep = np.ones(len(d), bool) if threshold is None else d <= threshold
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (q, i, d, rank)], schema=_RANKED)
+
+    return answer
+
+
+def nearest_batch(
+    base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None, query_block: int = QUERY_BLOCK, small_base: int = SMALL_BASE
+) -> DataFrame:
     """(query_id, id, distance, rank) for queries (query_id, embedding) against base (id, embedding).
 
-    Queries go to the base in blocks of bounded size. Each partition of the base answers with its
-    own k best rows a query, so the one shuffle moves k rows for each query and partition however
-    large the base is, and the final rank is taken over those.
+    A base that is counted and found small goes to the queries, which are answered where they
+    are, without a shuffle. Otherwise queries go to the base in blocks of bounded size: each
+    partition of the base answers with its own k best rows a query, so the one shuffle moves k
+    rows for each query and partition however large the base is, and the final rank is taken
+    over those.
     """
     from pyspark.sql.pandas.types import from_arrow_schema
 
     rows = live(base).select(F.col("id").cast("long").alias("id"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where("query_id IS NOT NULL AND embedding IS NOT NULL")
+    if k > 0 and small_base:
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+        if size.n * (size.dim or 0) <= small_base:
+            wide = asked if asked.rdd.getNumPartitions() >= rows.sparkSession.sparkContext.defaultParallelism else asked.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+            return wide.mapInArrow(_answer_from(rows.toArrow(), k, metric, threshold), from_arrow_schema(_RANKED))
     blocks = max(1, -(-asked.count() // query_block)) if k > 0 else 0
     made = None
     for n in range(blocks):
@@ -77,12 +126,7 @@ def nearest_batch(base: DataFrame, queries: DataFrame, k: int, metric: str = "co
                     continue
                 d = np.concatenate([best_d, distances(vectors, matrix(batch.column(1)), metric)], 1)
                 i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], 1)
-                if d.shape[1] > k:
-                    # Everything up to the k-th distance, so that ties are told by id.
-                    cut = np.partition(d, k - 1, 1)[:, k - 1]
-                    width = int((d <= cut[:, None]).sum(1).max())
-                    pick = np.lexsort((i, d))[:, : max(k, min(width, k))]
-                    d, i = np.take_along_axis(d, pick, 1), np.take_along_axis(i, pick, 1)
+                i, d = nearest_k(i, d, k)
                 best_d, best_i = d, i
             width = best_d.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], schema=_FOUND)

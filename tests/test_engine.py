@@ -42,13 +42,15 @@ def test_format_and_parse(spark):
     assert d.select(vx.parse_vector(vx.format_vector("v"), 2)).first()[0] == [0.5, -1.0]
 
 
+@pytest.mark.parametrize("small_base", [0, search.SMALL_BASE])
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-def test_single_and_batch_search_agree_with_numpy(spark, metric):
+def test_single_and_batch_search_agree_with_numpy(spark, metric, small_base):
     v = vectors(60)
+    v[20:30] = v[10:20]  # ties
     rows = frame(spark, v)
     d = search.distances(v[:3], v, metric)
     expected = [[int(i) for i in np.lexsort((np.arange(60), d[q]))[:7]] for q in range(3)]
-    batch = search.nearest_batch(rows, rows.where("id < 3").select(F.col("id").alias("query_id"), "embedding"), 7, metric, query_block=2)
+    batch = search.nearest_batch(rows, rows.where("id < 3").select(F.col("id").alias("query_id"), "embedding"), 7, metric, query_block=2, small_base=small_base)
     got = {}
     for r in batch.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
