@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +193,10 @@ def class_log_likelihood(net: Gru, c: np.ndarray, row: np.ndarray, n: int, prior
 
 
 _ENTRIES = pa.schema([("r", pa.int32()), ("doc", pa.binary()), ("train", pa.binary()), ("h", pa.binary()), ("at", pa.binary()), ("tf", pa.binary())])
-_PARTS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("log_counts", pa.float64()), ("known", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())])
+#: What a hash range tells a bucket of documents, packed (kind 0), and its sums by class (kinds 1 and 2):
+#: as many rows as ranges times buckets, not ranges times documents.
+_TOLD = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("doc", pa.binary()), ("log_counts", pa.binary()), ("known", pa.binary())])
+_PARTS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("log_counts", pa.float64()), ("n_known", pa.int64())])
 
 
 def _range_entries(h, c, row, ids, keys, training, ranges) -> pa.RecordBatch:
@@ -215,7 +217,7 @@ def _range_entries(h, c, row, ids, keys, training, ranges) -> pa.RecordBatch:
     return batch_of(_ENTRIES, *rows)
 
 
-def _count_parts(table: pa.Table) -> pa.Table:
+def _count_parts(table: pa.Table, buckets: int) -> pa.Table:
     """For a hash range: each document's sum of tf * log10(count + alpha) and known tokens; tokens and words of each class."""
     h, doc, c, tf, ids, keys, training, base = [], [], [], [], [], [], [], 0
     for owner, train_, value, at, packed in zip(*(table.column(x).to_pylist() for x in ("doc", "train", "h", "at", "tf")), strict=True):
@@ -241,13 +243,40 @@ def _count_parts(table: pa.Table) -> pa.Table:
     each = np.repeat(count, np.diff(np.r_[begin, len(h)]))
     logs = np.bincount(doc, tf * np.log10(each + ALPHA), len(ids))
     known = np.bincount(doc, tf * (each > 0), len(ids)).astype(np.int64)
-    none = np.zeros(len(ids), np.int64)
-    docs = batch_of(_PARTS, ids, keys, logs, known, none.astype(np.int32), none)
-    # Kind 1 and 2: training tokens and distinct training words of each class.
-    kinds, at = np.repeat(np.array([1, 2], np.int32), CLASSES), np.tile(np.arange(CLASSES), 2)
-    size = np.concatenate([np.bincount(c[begin], count, CLASSES), np.bincount(c[begin], count > 0, CLASSES)]).astype(np.int64)
-    zero = np.zeros(2 * CLASSES)
-    return pa.Table.from_batches([docs, batch_of(_PARTS, at, zero.astype(np.int64), zero, zero.astype(np.int64), kinds, size)], _PARTS)
+    # A document occurs once for each block of texts: its parts of this range are told together.
+    names, at = np.unique(np.stack([ids, keys], 1), axis=0, return_inverse=True)
+    at = at.ravel()
+    logs, known = np.bincount(at, logs, len(names)), np.bincount(at, known, len(names)).astype(np.int64)
+    g = (mix(names[:, 1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(g[order]) != 0])
+    rows = [(int(g[order[a]]), 0, names[x].tobytes(), logs[x].tobytes(), known[x].tobytes()) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(g)], strict=True) for x in [order[a:b]]]
+    # Training tokens and distinct training words of each class.
+    sums = [np.bincount(c[begin], count, CLASSES), np.bincount(c[begin], count > 0, CLASSES)]
+    rows += [(0, kind + 1, None, None, x.astype(np.int64).tobytes()) for kind, x in enumerate(sums)]
+    return pa.Table.from_batches([batch_of(_TOLD, *zip(*rows, strict=True))], _TOLD)
+
+
+def _counter(buckets: int):
+    return lambda table: _count_parts(table, buckets)
+
+
+def _class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("kind", pa.int32()), ("class", pa.int32()), ("n", pa.int64())])
+    total = np.zeros((2, CLASSES), np.int64)
+    for batch in batches:
+        for kind, packed in zip(batch.column("kind").to_pylist(), batch.column("known").to_pylist(), strict=True):
+            total[kind - 1] += np.frombuffer(packed, np.int64)
+    yield batch_of(schema, np.repeat([1, 2], CLASSES), np.tile(np.arange(CLASSES), 2), total.ravel())
+
+
+def _gather_parts(table: pa.Table) -> pa.Table:
+    """A bucket's documents, with the parts of all ranges put together."""
+    read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
+    names, at = np.unique(read("doc", np.int64).reshape(-1, 2), axis=0, return_inverse=True)
+    at = at.ravel()
+    logs, known = np.bincount(at, read("log_counts", np.float64), len(names)), np.bincount(at, read("known", np.int64), len(names))
+    return pa.Table.from_batches([batch_of(_PARTS, names[:, 0].copy(), names[:, 1].copy(), logs, known.astype(np.int64))], _PARTS)
 
 
 _WEIGHTS = pa.schema([("at", pa.int32()), ("value", pa.float64()), ("tokens", pa.int64())])
@@ -311,8 +340,9 @@ def lm_scores(docs: DataFrame, mod: int = 10, train_share: int = TRAIN_SHARE) ->
             h, c, row = tokens(*text_bytes(batch.column("text")))
             yield _range_entries(h, c, row, batch.column("doc_id").to_numpy(), batch.column("k").to_numpy(), batch.column("training").to_numpy(zero_copy_only=False), ranges)
 
-    counted = materialize(texts.mapInArrow(forward, spark_schema(_ENTRIES)).groupBy("r").applyInArrow(_count_parts, spark_schema(_PARTS)), "counts")
-    sums = counted.where("kind > 0").groupBy("kind", F.col("doc_id").alias("class")).agg(F.sum("value").alias("n")).collect()
+    counted = materialize(texts.mapInArrow(forward, spark_schema(_ENTRIES)).groupBy("r").applyInArrow(_counter(ranges), spark_schema(_TOLD)), "counts")
+    # Two packed rows for each range: summed where they are, then CLASSES sums of each kind.
+    sums = counted.where("kind > 0").select("kind", "known").mapInArrow(_class_sums, "kind int, class int, n long").groupBy("kind", "class").agg(F.sum("n").alias("n")).collect()
     size = np.zeros((2, CLASSES))
     for r in sums:
         size[r.kind - 1, r["class"]] = r.n
@@ -328,8 +358,8 @@ def lm_scores(docs: DataFrame, mod: int = 10, train_share: int = TRAIN_SHARE) ->
             model = class_log_likelihood(net, c, row, n, prior) / np.log(10) - np.bincount(row, inside[c], n)
             yield batch_of(_SCORED, batch.column("doc_id"), batch.column("k"), np.bincount(row, minlength=n), model)
 
-    parts = counted.where("kind = 0").groupBy("doc_id", "k").agg(F.sum("log_counts").alias("log_counts"), F.sum("known").alias("n_known"))
-    scored = texts.select("doc_id", "k", "text").mapInArrow(score, spark_schema(_SCORED))
+    parts = counted.where("kind = 0").groupBy("g").applyInArrow(_gather_parts, spark_schema(_PARTS))
+    scored = materialize(texts.select("doc_id", "k", "text").mapInArrow(score, spark_schema(_SCORED)), "scored")
     # Rows that repeat id and text share a key: their parts are summed, so they are divided again.
     times = scored.groupBy("doc_id", "k").agg(F.count("*").alias("times"), F.first("n_tokens").alias("n_tokens"), F.first("model").alias("model"))
     joined = times.join(parts, ["doc_id", "k"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
