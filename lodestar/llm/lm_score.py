@@ -7,8 +7,8 @@ in numpy and run over whole documents with the state carried across windows; the
 from counts over all training documents, gathered by hash ranges.
 
 Training is data-parallel: every partition trains on its own share of the corpus from a common
-start and the weights are averaged, so what is learned from grows with the input. A share is the
-training documents of one remainder of a hash (``train_share``).
+start and the weights are averaged, so what is learned from grows with the input. Every training
+document is trained on, unless ``train_share`` asks for those of one remainder of a hash only.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ END = np.uint64(0x454E44)
 ALPHA = 0.1
 WINDOW = 32
 LANES = 256
+#: Lanes of a pass at least; more of them while it still has about so many steps.
 TRAIN_LANES = 16
+TRAIN_STEPS = 50
 STRETCH = 512
 #: Share of the class unigram in the first factor: it bounds what a strange history can cost a token.
 BLEND = 0.1
-#: One of so many training documents goes to the network (all go to the counts).
-TRAIN_SHARE = 16
+#: One of so many training documents goes to the network: all of them, as to the counts.
+TRAIN_SHARE = 1
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,39 +94,66 @@ class Gru:
     def gradients(self, h: np.ndarray, last: np.ndarray, window: np.ndarray, fresh: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, float]:
         """Truncated backpropagation over a window (lanes, steps); -1 ends a lane, ``fresh`` marks
         the first tokens of documents. Returns the state to carry."""
-        k, grad = HIDDEN, {n: np.zeros_like(v) for n, v in self.w.items()}
-        trail, loss, count = [], 0.0, max(1, int((window >= 0).sum()))
-        for t in range(window.shape[1]):
-            live = window[:, t] >= 0
-            if fresh is not None and fresh[:, t].any():
-                h, last = np.where(fresh[:, t, None], np.float32(0), h), np.where(fresh[:, t], CLASSES, last)
-            new, kept = self.step(h, last)
-            new = np.where(live[:, None], new, h)
-            target = np.maximum(window[:, t], 0)
-            lp = self.log_probs(new)
-            loss -= float(lp[np.arange(len(h)), target][live].sum())
-            trail.append((kept, new, np.exp(lp), target, live))
-            h, last = new, np.where(live, target, last)
-        back = np.zeros_like(h)
-        d_in = np.zeros_like(self.inputs)
-        for t, ((h0, c, z, r, g, ug), new, p, target, live) in reversed(list(enumerate(trail))):
-            d = p
-            d[np.arange(len(p)), target] -= 1
-            d *= live[:, None] / count
-            grad["out"] += new.T @ d
-            grad["ob"] += d.sum(0)
-            dh = d @ self.w["out"].T + back
-            on = live[:, None]
-            dg = dh * z * (1 - g * g)
-            dz = dh * (g - h0) * z * (1 - z)
-            dr = dg * ug * r * (1 - r)
-            du = np.concatenate([dz, dr, dg * r], 1) * on
-            dx = np.concatenate([dz, dr, dg], 1) * on
-            grad["wh"] += h0.T @ du
-            np.add.at(d_in, c, dx)
-            back = np.where(on, dh * (1 - z) + du @ self.w["wh"].T, back)
-            if fresh is not None:
-                back = back * ~fresh[:, t, None]
+        k, (lanes, steps) = HIDDEN, window.shape
+        live, target = np.ascontiguousarray((window >= 0).T), np.ascontiguousarray(np.maximum(window, 0).T)
+        count, kind = max(1, int(live.sum())), h.dtype
+        begun, whole = np.zeros(steps, bool) if fresh is None else fresh.any(0), live.all(1)
+        # Units by lanes: whatever is done to a gate is done to one stretch of memory.
+        inputs, wh, out = (np.ascontiguousarray(x.T) for x in (self.inputs, self.w["wh"], self.w["out"]))
+        ob, h = self.w["ob"][:, None], np.ascontiguousarray(h.T)
+        grad = {"wh": np.zeros_like(self.w["wh"]), "out": np.zeros_like(self.w["out"]), "ob": np.zeros_like(self.w["ob"])}
+        trail, loss, each = [], 0.0, np.arange(lanes)
+        for t in range(steps):
+            if begun[t]:
+                h, last = np.where(fresh[:, t], kind.type(0), h), np.where(fresh[:, t], CLASSES, last)
+            on, y = live[t], target[t]
+            x, u = inputs.take(last, 1), wh @ h
+            gates = x[: 2 * k]
+            gates += u[: 2 * k]
+            np.clip(gates, -30, 30, out=gates)
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r, g, ug = gates[:k], gates[k:], x[2 * k :], u[2 * k :]
+            g += r * ug
+            np.tanh(g, out=g)
+            new = h + z * (g - h)
+            if not whole[t]:
+                new = np.where(on, new, h)
+            # The output side at once, while the step is in the processor's cache.
+            d = out @ new
+            d += ob
+            d -= d.max(0)
+            chosen = d[y, each]
+            np.exp(d, out=d)
+            total = d.sum(0)
+            loss -= float((chosen - np.log(total))[on].sum())
+            d *= (on / (total * count)).astype(kind)
+            d[y, each] -= (on / count).astype(kind)
+            grad["out"] += new @ d.T
+            grad["ob"] += d.sum(1)
+            trail.append((h, last, z, r, g, ug, self.w["out"] @ d))
+            h, last = new, y if whole[t] else np.where(on, y, last)
+        back, d_in, unit = np.zeros((k, lanes), kind), np.zeros((3 * k, CLASSES + 1), kind), np.eye(CLASSES + 1, dtype=kind)
+        dx = np.empty((3 * k, lanes), kind)
+        for t in range(steps - 1, -1, -1):
+            h0, c, z, r, g, ug, way = trail[t]
+            dh, dg = way + back, dx[2 * k :]
+            through = dh * z
+            np.multiply(through, 1 - g * g, out=dg)
+            np.multiply(dh * (g - h0), z * (1 - z), out=dx[:k])
+            np.multiply(dg * ug, r * (1 - r), out=dx[k : 2 * k])
+            if not whole[t]:
+                dx *= live[t]
+            d_in += dx @ unit[c]
+            dg *= r  # from here on what goes to the state's side
+            grad["wh"] += h0 @ dx.T
+            passed = dh - through + self.w["wh"] @ dx
+            back = passed if whole[t] else np.where(live[t], passed, dh)
+            if begun[t]:
+                back = back * ~fresh[:, t]
+        h, d_in = np.ascontiguousarray(h.T), d_in.T
         grad["b"] = d_in.sum(0)
         grad["wx"] = self.w["embed"].T @ d_in
         grad["embed"] = d_in @ self.w["wx"].T
@@ -139,7 +168,8 @@ def train(net: Gru, streams: list[np.ndarray], rate: float = 0.02) -> Gru:
     streams = [part for x in streams for part in np.array_split(x, -(-len(x) // STRETCH))]
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
-    lanes: list[list[np.ndarray]] = [[] for _ in range(min(TRAIN_LANES, len(streams)))]
+    wide = min(LANES, max(TRAIN_LANES, sum(map(len, streams)) // (WINDOW * TRAIN_STEPS)))
+    lanes: list[list[np.ndarray]] = [[] for _ in range(min(wide, len(streams)))]
     filled = np.zeros(len(lanes), np.int64)
     for x in sorted(streams, key=len, reverse=True):
         k = int(filled.argmin())

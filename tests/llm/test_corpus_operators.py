@@ -234,6 +234,14 @@ def test_lm_scores(spark):
     assert lm_score.lm_scores(docs(spark, [])).count() == 0
 
 
+def test_every_training_document_reaches_the_network(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("river stone apple window maison jardin".split()) for _ in range(30))) for i in range(6)]
+    fit = lambda rows: lm_score.fit_network(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), np.zeros(lm_score.CLASSES)).w["ob"]
+    whole = fit(rows)
+    assert all(not np.array_equal(whole, fit([r for r in rows if r != one])) for one in rows)
+
+
 def test_queries_and_sql_agree_on_names():
     assert set(SQL) <= set(QUERIES) and [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11)) and QUERIES["op1_line_dedup"] is op1_line_dedup
 
