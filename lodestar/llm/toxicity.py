@@ -37,7 +37,7 @@ _WINDOW = 40
 
 @dataclass
 class Lexicon:
-    """Terms with their weights, the words next to a term that are no misspelling of it, and how sums become scores.
+    """Terms with their weights, the words next to a term (next to a stem: their beginnings) that are no misspelling of it, and how sums become scores.
 
     The logit of a text whose hits weigh ``s`` among ``w`` words is
     ``bias + slope * s + slope_long * s * log(1 + w)``.
@@ -58,7 +58,10 @@ class Lexicon:
 
 @dataclass
 class Automaton:
-    """The deterministic product: ``step[state, class_of[byte]]``, and each state's term and distance (-1: none)."""
+    """The deterministic product: ``step[state, class_of[code point]]``, and each state's term and distance (-1: none).
+
+    The last place of ``class_of`` stands for all code points from there on.
+    """
 
     class_of: np.ndarray
     step: np.ndarray
@@ -66,43 +69,58 @@ class Automaton:
     distance: np.ndarray
 
 
-def compile_lexicon(lexicon: Lexicon, fuzzy_from: int = 5) -> Automaton:
-    """Trie of all terms; words of ``fuzzy_from`` bytes or more accept one edit, stems any ending."""
+def compile_lexicon(lexicon: Lexicon, fuzzy_from: int = 5, fuzzy_stems: bool = False) -> Automaton:
+    """Trie of all terms by code points; words of ``fuzzy_from`` bytes or more accept one edit, stems any ending.
+
+    With ``fuzzy_stems`` stems of that size accept one edit too, before the ending.
+    """
+    terms, weights = lexicon.terms(), [*lexicon.words.values(), *lexicon.stems.values()]
     trie: list[dict[int, int]] = [{}]
     word_at, stem_at, fuzzy = {}, {}, {0: False}
-    for k, term in enumerate(lexicon.terms()):
-        raw, node = term.encode(), 0
-        is_word = k < len(lexicon.words)
-        for b in raw:
-            fuzzy[node] |= is_word and len(raw) >= fuzzy_from
-            if b not in trie[node]:
-                trie[node][b] = len(trie)
+    loose = [len(t.encode()) >= fuzzy_from and (fuzzy_stems or k < len(lexicon.words)) for k, t in enumerate(terms)]
+    for k, term in enumerate(terms):
+        node = 0
+        for c in map(ord, term):
+            fuzzy[node] |= loose[k]
+            if c not in trie[node]:
+                trie[node][c] = len(trie)
                 trie.append({})
-                fuzzy[trie[node][b]] = False
-            node = trie[node][b]
-        fuzzy[node] |= is_word and len(raw) >= fuzzy_from
-        (word_at if is_word else stem_at)[node] = k
-    letters = sorted({b for node in trie for b in node})
-    class_of = np.zeros(256, np.int32)
+                fuzzy[trie[node][c]] = False
+            node = trie[node][c]
+        fuzzy[node] |= loose[k]
+        (word_at if k < len(lexicon.words) else stem_at)[node] = k
+    letters = sorted({c for node in trie for c in node})
+    class_of = np.zeros(max(letters, default=0) + 2, np.int32)
     class_of[letters] = np.arange(1, len(letters) + 1)
 
+    # A state is (node, edits), or (~stem, edits) once that stem is complete and only its ending follows.
     def close(states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-        """Follow deletions, and keep a node's least distance only."""
+        """Follow deletions, and keep a node's least distance and the best complete stem only."""
         todo = list(states)
         while todo:
             node, e = todo.pop()
-            if e == 0:
+            if node >= 0 and node in stem_at and (e == 0 or loose[stem_at[node]]):
+                states.add((~stem_at[node], e))
+            if node >= 0 and e == 0:
                 for child in trie[node].values():
                     if fuzzy[child] and (child, 1) not in states:
                         states.add((child, 1))
                         todo.append((child, 1))
-        return frozenset(s for s in states if s[1] == 0 or (s[0], 0) not in states)
-
-    def after(states: frozenset[tuple[int, int]], b: int | None) -> frozenset[tuple[int, int]]:
+        stems = [s for s in states if s[0] < 0]
+        if not stems:
+            return frozenset(s for s in states if s[1] == 0 or (s[0], 0) not in states)
+        best = min(stems, key=lambda s: (s[1], -weights[~s[0]], ~s[0]))
+        # Nothing with an edit is better than a stem without one.
+        return frozenset({best} | {s for s in states if s[0] >= 0 and (s[1] == 0 or (best[1] and (s[0], 0) not in states))})
+
+    def after(states: frozenset[tuple[int, int]], c: int | None) -> frozenset[tuple[int, int]]:
         made: set[tuple[int, int]] = set()
         for node, e in states:
-            if b in trie[node]:
-                made.add((trie[node][b], e))
+            if node < 0:
+                made.add((node, e))
+                continue
+            if c in trie[node]:
+                made.add((trie[node][c], e))
             if e == 0 and fuzzy[node]:
                 made.add((node, 1))
                 made.update((child, 1) for child in trie[node].values() if fuzzy[child])
@@ -111,13 +129,9 @@ def compile_lexicon(lexicon: Lexicon, fuzzy_from: int = 5) -> Automaton:
     start = close({(0, 0)})
     number, queue, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
     for states in queue:
-        stem = next((stem_at[n] for n, e in states if e == 0 and n in stem_at), None)
-        if stem is not None:
-            rows.append([number[states]] * (len(letters) + 1))
-            continue
         row = []
-        for b in (None, *letters):
-            target = after(states, b)
+        for c in (None, *letters):
+            target = after(states, c)
             if target not in number:
                 number[target] = len(number)
                 queue.append(target)
@@ -125,13 +139,28 @@ def compile_lexicon(lexicon: Lexicon, fuzzy_from: int = 5) -> Automaton:
         rows.append(row)
     term, distance = np.full(len(queue), -1, np.int32), np.zeros(len(queue), np.int32)
     for k, states in enumerate(queue):
-        ends = [(e, word_at[n]) for n, e in states if n in word_at and (e == 0 or len(lexicon.terms()[word_at[n]].encode()) >= fuzzy_from)]
-        ends += [(0, stem_at[n]) for n, e in states if e == 0 and n in stem_at]
+        # The fewest edits, then the whole word, then the heavier term.
+        ends = [(e, 0, -weights[word_at[n]], word_at[n]) for n, e in states if n in word_at and (e == 0 or loose[word_at[n]])]
+        ends += [(e, 1, 0.0, ~n) for n, e in states if n < 0]
         if ends:
-            distance[k], term[k] = min(ends)
+            distance[k], _, _, term[k] = min(ends)
     return Automaton(class_of, np.array(rows, np.int32), term, distance)
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and for each byte the number of the code point it belongs to."""
+    lead = (data & 0xC0) != 0x80
+    first, wide = np.flatnonzero(lead), np.r_[data, np.zeros(3, np.uint8)].astype(np.int32)
+    made = wide[first]
+    for size, low in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        mine = np.flatnonzero((data[first] >= low) & (data[first] < low + (256 - low) // 2))
+        value = wide[first[mine]] & (0x7F >> size)
+        for k in range(1, size):
+            value = value << 6 | wide[first[mine] + k] & 0x3F
+        made[mine] = value
+    return made, np.cumsum(lead) - 1
+
+
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
@@ -146,13 +175,14 @@ def find_terms(machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> tup
     first[offsets] = True
     starts = np.flatnonzero(inside & (np.r_[True, ~inside[:-1]] | first[:-1]))
     ends = np.flatnonzero(inside & (np.r_[~inside[1:], True] | first[1:])) + 1
-    cls = machine.class_of[data]
-    live, at, state = np.arange(len(starts)), starts.copy(), np.ones(len(starts), np.int32)
+    points, number = code_points(data)
+    cls = machine.class_of[np.minimum(points, len(machine.class_of) - 1)]
+    live, at, stop, state = np.arange(len(starts)), number[starts], number[ends - 1] + 1, np.ones(len(starts), np.int32)
     hits, states = [], []
     while len(live):
         state = machine.step[state, cls[at]]
         at = at + 1
-        over = at == ends[live]
+        over = at == stop[live]
         good = over & (machine.term[state] >= 0)
         hits.append(live[good])
         states.append(state[good])
@@ -173,14 +203,14 @@ def quoted(before: str, after: str) -> bool:
 
 def hit_sums(lexicon: Lexicon, machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each lower-case text: the weights of its hits in context, summed, and its words."""
-    weights = [*lexicon.words.values(), *lexicon.stems.values()]
+    weights, sizes = [*lexicon.words.values(), *lexicon.stems.values()], [len(t) for t in lexicon.terms()]
     sums = np.zeros(len(offsets) - 1)
     seen: set[tuple[int, bytes]] = set()
     for row, a, b, term, distance in zip(*find_terms(machine, data, offsets), strict=True):
         weight = weights[term]
         if distance:
             word = data[a:b].tobytes().decode(errors="replace")
-            if word in lexicon.innocent or not word.isascii():
+            if word in lexicon.innocent or (term >= len(lexicon.words) and word[: sizes[term]] in lexicon.innocent):
                 continue
             weight *= lexicon.fuzzy_share
         before = data[max(offsets[row], a - _WINDOW) : a].tobytes().decode(errors="ignore")
@@ -308,15 +338,18 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     chosen = _cover([*word_n, *(f"{s}*" for s in stem_n)], covers, least)
     weight = lambda a, b: float(np.clip(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)), 0.5, 9.0))
     found = Lexicon({w: weight(*word_n[w]) for w in chosen if w[-1] != "*"}, {w[:-1]: weight(*stem_n[w[:-1]]) for w in chosen if w[-1] == "*"})
-    found.words = {w: v for w, v in found.words.items() if not any(w.startswith(s) for s in found.stems)}
+    # A word says no more than its stem, unless its own evidence is the stronger.
+    found.words = {w: v for w, v in found.words.items() if not any(w.startswith(s) and u >= v for s, u in found.stems.items())}
     # Words of clean texts that are one edit from a term are words of their own, no misspellings.
-    machine = compile_lexicon(found)
+    machine = compile_lexicon(found, fuzzy_stems=True)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = batch.column("word").to_pylist()
-            row, _, _, _, distance = find_terms(machine, *text_bytes(batch.column("word").cast(pa.string())))
-            picked = [keep[r] for r in row[distance > 0]]
+            row, _, _, term, distance = find_terms(machine, *text_bytes(batch.column("word").cast(pa.string())))
+            # Beside a stem any ending may follow the innocent word's beginning, as it may the stem.
+            sizes = [*(None for _ in found.words), *map(len, found.stems)]
+            picked = [keep[r][: sizes[t]] for r, t in zip(row[distance > 0], term[distance > 0], strict=True)]
             yield batch_of(pa.schema([("word", pa.string())]), picked)
 
     near = counts.where("n0 > 0").select("word").mapInArrow(neighbours, "word string")
@@ -338,7 +371,7 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 def score_column(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score) of every row."""
-    machine = compile_lexicon(lexicon)
+    machine = compile_lexicon(lexicon, fuzzy_stems=True)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -362,7 +395,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_l
     """The rows of ``docs``, all columns, that score below ``threshold``: a filter where the rows are, no join."""
     tune(docs.sparkSession)
     lexicon = learn_lexicon(docs, labels, max_labelled)
-    machine = compile_lexicon(lexicon)
+    machine = compile_lexicon(lexicon, fuzzy_stems=True)
 
     @F.pandas_udf(T.DoubleType())
     def score(texts):

@@ -174,6 +174,33 @@ def test_automaton_against_edit_distance():
         assert got.get(k, 9) == (best if best <= 1 else 9), w
 
 
+def test_automaton_by_code_points_and_with_edited_stems():
+    rnd = random.Random(5)
+    lexicon = toxicity.Lexicon({"loser": 7, "crétin": 5}, {"lose": 3, "réeux": 4, "bomente": 4})
+    machine = toxicity.compile_lexicon(lexicon, fuzzy_stems=True)
+    words = ["loser", "looser", "lozer", "losers", "losing", "cretin", "crêtin", "crtin", "creetin", "réeuxes", "reeuxes", "rêeux", "réeuses", "boment", "bomantelich", "xbomente", "世bomente"]
+    words += ["".join(rnd.choice("loserébmtnuxcié") for _ in range(rnd.randint(1, 9))) for _ in range(2000)]
+    for t in lexicon.terms():
+        words += [t[:k] + c + t[k + d :] + rnd.choice(["", "x", "é"]) for k in range(len(t) + 1) for c in ("", "é", "z") for d in (0, 1)]
+    row, _, _, term, distance = toxicity.find_terms(machine, *text_bytes(pa.array(words)))
+    got = {int(r): (int(d), lexicon.terms()[t]) for r, d, t in zip(row, distance, term, strict=True)}
+    for k, w in enumerate(words):
+        away = {t: edit_distance(w, t) for t in lexicon.words}
+        away |= {t: min(edit_distance(w[:j], t) for j in range(len(w) + 1)) if len(t) > 4 else 0 if w.startswith(t) else 9 for t in lexicon.stems}
+        best = min(away.values())
+        assert got.get(k, (9, ""))[0] == (best if best <= 1 else 9), w
+    assert got[words.index("loser")] == (0, "loser") and got[words.index("looser")] == (1, "loser") and got[words.index("cretin")] == (1, "crétin")
+
+
+def test_a_word_with_more_evidence_than_its_stem_stays(spark):
+    toxic = [(i, f"tone{i} loser {' '.join(f'word{(i + k) % 7}' for k in range(3))}") for i in range(60)] + [(100 + i, f"tone{i} lose{e} word1") for i, e in enumerate(["tte", "ngo", "lka", "mux"] * 10)]
+    clean = [(200 + i, f"calm{i} word{i % 7} {'losex' if i < 12 else 'river'}") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i < 200)) for i, _ in toxic + clean], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn_lexicon(docs(spark, toxic + clean), labels)
+    stems = [s for s in lexicon.stems if "loser".startswith(s)]
+    assert "loser" in lexicon.words and all(lexicon.words["loser"] > lexicon.stems[s] for s in stems)
+
+
 def test_quality(spark):
     d, labels, _, truth = labelled(spark)
     got = {r.doc_id: r for r in quality.quality_scores(d, labels).collect()}
