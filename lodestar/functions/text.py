@@ -116,8 +116,8 @@ def keywords(c: Column | str, stop_words: tuple[str, ...] = ()) -> Column:
     return F.filter(kept, lambda w: ~w.isin(*stop_words)) if stop_words else kept
 
 
-def wordpieces(c: Column | str, vocabulary: dict[str, int], prefix: str = " ", max_length: int = 512) -> Column:
-    """Greedy longest-prefix pieces of each normalised word, 0 in front and 2 behind, ``max_length`` at most.
+def wordpieces(c: Column | str, vocabulary: dict[str, int], prefix: str = " ", max_length: int | None = 512) -> Column:
+    """Greedy longest-prefix pieces of each normalised word, 0 in front and 2 behind, ``max_length`` at most (None: all).
 
     What no piece covers is passed over, byte by byte.
     """
@@ -131,13 +131,13 @@ def wordpieces(c: Column | str, vocabulary: dict[str, int], prefix: str = " ", m
     return encode(F.array_join(words(normalize(F.coalesce(_column(c), F.lit("")))), " "))
 
 
-def encode_words(found: list[str], pieces: dict[bytes, int], longest: int, prefix: str, max_length: int) -> list[int]:
-    if max_length < 2:
+def encode_words(found: list[str], pieces: dict[bytes, int], longest: int, prefix: str, max_length: int | None) -> list[int]:
+    if max_length is not None and max_length < 2:
         return []
     out = [0]
     for word in found:
         raw, at = (prefix + word).encode(), 0
-        while at < len(raw) and len(out) < max_length - 1:
+        while at < len(raw) and (max_length is None or len(out) < max_length - 1):
             size = next((n for n in range(min(longest, len(raw) - at), 0, -1) if raw[at : at + n] in pieces), 0)
             if size:
                 out.append(pieces[raw[at : at + size]])

@@ -343,9 +343,9 @@ def tsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wordpiece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces by a small vocabulary of letters and frequent pairs."""
+    """Pieces of whole texts by a small vocabulary of letters and frequent pairs."""
     pieces = [" ", *"abcdefghijklmnopqrstuvwxyz", *(f" {c}" for c in "abcdefghijklmnopqrstuvwxyz"), "th", "er", "on", "an", "re", "en", "the", " the"]
-    return table(spark, sf_dir, "documents").select("doc_id", tx.wordpieces("text", {p: k + 3 for k, p in enumerate(pieces)}).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.wordpieces("text", {p: k + 3 for k, p in enumerate(pieces)}, max_length=None).alias("tokens"))
 
 
 @query()

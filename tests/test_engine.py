@@ -287,3 +287,10 @@ def test_stateful_stream(spark, tmp_path):
     log(spark, [(2, "set", "a", [0.0, 1.0])]).write.mode("append").parquet(source)
     run()
     assert sorted(got) == [(0, True), (2, False)]
+
+
+def test_wordpiece_query_runs_over_whole_texts(spark, tmp_path):
+    from lodestar.plans.queries import wordpiece_tokens
+
+    spark.createDataFrame([(1, "q" * 3000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(wordpiece_tokens(spark, str(tmp_path)).first().tokens) == 3002
