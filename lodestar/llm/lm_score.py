@@ -4,15 +4,19 @@ P(word | history) = P(class | history) * P(word | class): the class-factored sof
 has a class by its form (a hash of its first and last characters and its length), so no vocabulary
 is sent anywhere. The first factor is a GRU's, trained by truncated backpropagation through time
 in numpy and run over whole documents with the state carried across windows; the second comes
-from counts over all training documents, gathered by hash ranges.
+from counts over all training documents.
 
-Training is data-parallel: every partition trains on its own share of the corpus from a common
-start and the weights are averaged, so what is learned from grows with the input. Every training
-document is trained on, unless ``train_share`` asks for those of one remainder of a hash only.
+Training is data-parallel and takes every training document once: in each of ``ROUNDS`` rounds the
+partitions train on their part of the round's documents from common weights, which are then
+averaged by tokens. So what is learned from grows with the input.
+
+Counts are gathered by hash ranges, each task telling a word once. Tasks know the ``FREQUENT`` most
+frequent words by themselves; only what a document holds besides is sent to the ranges and back.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import LOWER, NULL_ID, batch_of, documents, id_back, id_remainder, materialize, mix, partitions, slices, span_hashes, spark_schema, text_bytes, tune, word_spans
+from lodestar.llm.common import LOWER, batch_of, documents, id_back, id_remainder, materialize, mix, partitions, slices, span_hashes, spark_schema, text_bytes, tune, word_spans
 
 CLASSES = 64
 HIDDEN = 24
@@ -33,30 +37,45 @@ LANES = 256
 TRAIN_LANES = 16
 TRAIN_STEPS = 50
 STRETCH = 512
+#: Rounds of training and averaging, and the share of the first one's rate that each goes at.
+ROUNDS = (1.0, 0.5, 0.25)
 #: Share of the class unigram in the first factor: it bounds what a strange history can cost a token.
 BLEND = 0.1
-#: One of so many training documents goes to the network: all of them, as to the counts.
-TRAIN_SHARE = 1
+#: Words that every task knows by itself, at most: two numbers each.
+FREQUENT = 1 << 19
+#: Tokens, documents or words that a task holds before it passes them on.
+_HOLD_TOKENS, _HOLD_ROWS, _HOLD_WORDS = 4_000_000, 50_000, 2_000_000
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, class, row) of all tokens in order, an end behind each row's words."""
-    data = LOWER[data]
-    starts, ends, row = word_spans(data, offsets)
-    n = len(offsets) - 1
-    size = np.minimum(ends - starts, 12)
-    # Form: the last two bytes, the first and the length, stirred; ends of words tell languages apart.
+def _kinds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Classes of the lower-case words by their form: ends of words tell languages apart."""
+    size = ends - starts
     last, first = data[ends - 1].astype(np.uint64), data[starts].astype(np.uint64)
     second = np.where(size > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
     form = mix(last | second << np.uint64(8) | (size <= 3).astype(np.uint64) << np.uint64(16) | np.where(size <= 3, first, 0).astype(np.uint64) << np.uint64(24))
-    kind = (form % np.uint64(CLASSES - 1)).astype(np.int64)
-    hashes = span_hashes(data, starts, ends)
-    at = np.arange(len(row)) + row
-    total = len(row) + n
-    h, c, r = np.full(total, END), np.full(total, CLASSES - 1), np.empty(total, np.int64)
-    h[at], c[at] = hashes, kind
-    r[:] = np.repeat(np.arange(n), np.bincount(row, minlength=n) + 1)
-    return h, c, r
+    return (form % np.uint64(CLASSES - 1)).astype(np.uint8)
+
+
+def _ended(values: np.ndarray, row: np.ndarray, n: int, end) -> np.ndarray:
+    """The words' values with one of the end behind each row's."""
+    made = np.full(len(row) + n, end)
+    made[np.arange(len(row)) + row] = values
+    return made
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, class, row) of all tokens in order, an end behind each row's words."""
+    data, n = LOWER[data], len(offsets) - 1
+    starts, ends, row = word_spans(data, offsets)
+    each = np.repeat(np.arange(n), np.bincount(row, minlength=n) + 1)
+    return _ended(span_hashes(data, starts, ends), row, n, END), _ended(_kinds(data, starts, ends), row, n, np.uint8(CLASSES - 1)), each
+
+
+def class_streams(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The classes of each row's tokens."""
+    data, n = LOWER[data], len(offsets) - 1
+    starts, ends, row = word_spans(data, offsets)
+    return np.split(_ended(_kinds(data, starts, ends), row, n, np.uint8(CLASSES - 1)), np.cumsum(np.bincount(row, minlength=n) + 1)[:-1]) if n else []
 
 
 class Gru:
@@ -199,118 +218,87 @@ def train(net: Gru, streams: list[np.ndarray], rate: float = 0.02) -> Gru:
     return net
 
 
+def _lanes(count: np.ndarray, wide: int) -> list[list[int]]:
+    """Documents dealt to lanes, the longest first and always to the shortest lane; lanes by falling length."""
+    heap, lanes = [(0, k) for k in range(wide)], [[] for _ in range(wide)]
+    for d in np.argsort(-count, kind="stable").tolist():
+        filled, k = heap[0]
+        lanes[k].append(d)
+        heapq.heapreplace(heap, (filled + int(count[d]), k))
+    return [lanes[k] for filled, k in sorted(heap, key=lambda x: (-x[0], x[1])) if filled]
+
+
 def class_log_likelihood(net: Gru, c: np.ndarray, row: np.ndarray, n: int, prior: np.ndarray | None = None) -> np.ndarray:
-    """Sums of natural log P(class | history) over whole documents; the state runs from first to last token."""
+    """Sums of natural log P(class | history) over whole documents (``row`` ascends).
+
+    The state runs from a document's first token to its last. Documents follow one another in
+    lanes, so that steps are wide however their lengths differ; memory is that of the tokens.
+    """
+    sums, k = np.zeros(n), HIDDEN
     count = np.bincount(row, minlength=n)
+    if not len(c):
+        return sums
     first = np.cumsum(count) - count
-    out = np.zeros(n)
-    order = np.argsort(-count, kind="stable")
-    for at in range(0, n, LANES):
-        lanes = order[at : at + LANES]
-        size, begin = count[lanes], first[lanes]
-        h, last = np.zeros((len(lanes), HIDDEN), np.float32), np.full(len(lanes), CLASSES)
-        for t in range(int(size[0]) if len(lanes) else 0):
-            live = int(np.searchsorted(-size, -t, side="left"))  # lanes are sorted by falling length
-            if live < len(h):
-                h, last = h[:live], last[:live]
-            h, _ = net.step(h, last)
-            s = h @ net.w["out"] + net.w["ob"]
-            top = s.max(1)
-            last = c[begin[:live] + t]
-            log = s[np.arange(live), last] - top - np.log(np.exp(s - top[:, None]).sum(1))
-            out[lanes[:live]] += log if prior is None else np.log((1 - BLEND) * np.exp(log) + BLEND * prior[last])
-    return out
-
-
-_ENTRIES = pa.schema([("r", pa.int32()), ("doc", pa.binary()), ("train", pa.binary()), ("h", pa.binary()), ("at", pa.binary()), ("tf", pa.binary())])
-#: What a hash range tells a bucket of documents, packed (kind 0), and its sums by class (kinds 1 and 2):
-#: as many rows as ranges times buckets, not ranges times documents.
-_TOLD = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("doc", pa.binary()), ("log_counts", pa.binary()), ("known", pa.binary())])
-_PARTS = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("log_counts", pa.float64()), ("n_known", pa.int64())])
-
-
-def _range_entries(h, c, row, ids, keys, training, ranges) -> pa.RecordBatch:
-    """One row for each hash range: each document's distinct words of that range, with class and frequency."""
-    order = np.lexsort((row, h))
-    h, c, row = h[order], c[order], row[order]
-    begin = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
-    tf = np.diff(np.r_[begin, len(h)])
-    h, c, row = h[begin], c[begin], row[begin]
-    r = ((h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    rows: list[list] = [[] for _ in _ENTRIES]
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(r)], strict=True):
-        mine, at = np.unique(row[a:b], return_inverse=True)
-        packed = np.where(tf[a:b] < 255, tf[a:b], 255).astype(np.uint8).tobytes() + tf[a:b][tf[a:b] >= 255].astype(np.uint32).tobytes()
-        for column, x in zip(rows, (int(r[a]), np.stack([ids[mine], keys[mine]]).tobytes(), training[mine].tobytes(), h[a:b].tobytes(), (at.astype(np.uint32) * CLASSES + c[a:b].astype(np.uint32)).tobytes(), packed), strict=True):
-            column.append(x)
-    return batch_of(_ENTRIES, *rows)
-
-
-def _count_parts(table: pa.Table, buckets: int) -> pa.Table:
-    """For a hash range: each document's sum of tf * log10(count + alpha) and known tokens; tokens and words of each class."""
-    h, doc, c, tf, ids, keys, training, base = [], [], [], [], [], [], [], 0
-    for owner, train_, value, at, packed in zip(*(table.column(x).to_pylist() for x in ("doc", "train", "h", "at", "tf")), strict=True):
-        both = np.frombuffer(owner, np.int64).reshape(2, -1)
-        h.append(np.frombuffer(value, np.uint64))
-        place = np.frombuffer(at, np.uint32)
-        doc.append(place // CLASSES + base)
-        c.append(place % CLASSES)
-        n = len(place)
-        f = np.frombuffer(packed, np.uint8, n).astype(np.int64)
-        f[f == 255] = np.frombuffer(packed, np.uint32, offset=n) if len(packed) > n else 255
-        tf.append(f)
-        ids.append(both[0])
-        keys.append(both[1])
-        training.append(np.frombuffer(train_, bool))
-        base += both.shape[1]
-    h, doc, c, tf = map(np.concatenate, (h, doc, c, tf))
-    ids, keys, training = map(np.concatenate, (ids, keys, training))
-    order = np.argsort(h)
-    h, doc, c, tf = h[order], doc[order].astype(np.int64), c[order].astype(np.int64), tf[order]
-    begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    count = np.add.reduceat(tf * training[doc], begin)
-    each = np.repeat(count, np.diff(np.r_[begin, len(h)]))
-    logs = np.bincount(doc, tf * np.log10(each + ALPHA), len(ids))
-    known = np.bincount(doc, tf * (each > 0), len(ids)).astype(np.int64)
-    # A document occurs once for each block of texts: its parts of this range are told together.
-    names, at = np.unique(np.stack([ids, keys], 1), axis=0, return_inverse=True)
-    at = at.ravel()
-    logs, known = np.bincount(at, logs, len(names)), np.bincount(at, known, len(names)).astype(np.int64)
-    g = (mix(names[:, 1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(g, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(g[order]) != 0])
-    rows = [(int(g[order[a]]), 0, names[x].tobytes(), logs[x].tobytes(), known[x].tobytes()) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(g)], strict=True) for x in [order[a:b]]]
-    # Training tokens and distinct training words of each class.
-    sums = [np.bincount(c[begin], count, CLASSES), np.bincount(c[begin], count > 0, CLASSES)]
-    rows += [(0, kind + 1, None, None, x.astype(np.int64).tobytes()) for kind, x in enumerate(sums)]
-    return pa.Table.from_batches([batch_of(_TOLD, *zip(*rows, strict=True))], _TOLD)
-
-
-def _counter(buckets: int):
-    return lambda table: _count_parts(table, buckets)
-
-
-def _class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kind", pa.int32()), ("class", pa.int32()), ("n", pa.int64())])
-    total = np.zeros((2, CLASSES), np.int64)
-    for batch in batches:
-        for kind, packed in zip(batch.column("kind").to_pylist(), batch.column("known").to_pylist(), strict=True):
-            total[kind - 1] += np.frombuffer(packed, np.int64)
-    yield batch_of(schema, np.repeat([1, 2], CLASSES), np.tile(np.arange(CLASSES), 2), total.ravel())
-
-
-def _gather_parts(table: pa.Table) -> pa.Table:
-    """A bucket's documents, with the parts of all ranges put together."""
-    read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
-    names, at = np.unique(read("doc", np.int64).reshape(-1, 2), axis=0, return_inverse=True)
-    at = at.ravel()
-    logs, known = np.bincount(at, read("log_counts", np.float64), len(names)), np.bincount(at, read("known", np.int64), len(names))
-    return pa.Table.from_batches([batch_of(_PARTS, names[:, 0].copy(), names[:, 1].copy(), logs, known.astype(np.int64))], _PARTS)
+    lanes = _lanes(count, min(LANES, int((count > 0).sum())))
+    docs = [[d for d in lane if count[d]] for lane in lanes]
+    filled = np.array([count[lane].sum() for lane in docs])
+    base = np.cumsum(filled) - filled
+    order = np.array([d for lane in docs for d in lane])
+    flat = np.concatenate([c[first[d] : first[d] + count[d]] for d in order])
+    begins = np.cumsum(count[order]) - count[order]
+    fresh_at = np.zeros(len(flat), bool)
+    fresh_at[begins] = True
+    logs = np.empty(len(flat), np.float32)
+    # Units by lanes: whatever is done to a gate is done to one stretch of memory.
+    inputs, wh, out = (np.ascontiguousarray(x.T) for x in (net.inputs, net.w["wh"], net.w["out"]))
+    ob, wide, block = net.w["ob"][:, None], len(docs), 256
+    # The state is within -1 and 1, so this bounds the logits: exp needs no shift if they are small.
+    steady = float((np.abs(net.w["out"]).sum(0) + np.abs(net.w["ob"])).max()) < 80
+    h, last = np.zeros((k, wide), np.float32), np.full(wide, CLASSES)
+    for start in range(0, int(filled[0]), block):
+        wide = int(np.searchsorted(-filled, -start, side="left"))
+        stops = np.minimum(filled[:wide] - start, block)
+        grid, fresh = np.zeros((int(stops[0]), wide), np.uint8), np.zeros((int(stops[0]), wide), bool)
+        for j, (at, stop) in enumerate(zip((base[:wide] + start).tolist(), stops.tolist(), strict=True)):
+            grid[:stop, j], fresh[:stop, j] = flat[at : at + stop], fresh_at[at : at + stop]
+        h, last = np.ascontiguousarray(h[:, :wide]), last[:wide]
+        begun, each, chosen = fresh.any(1), np.arange(wide), np.empty(grid.shape, np.float32)
+        for t in range(len(grid)):
+            if begun[t]:
+                h[:, fresh[t]] = 0
+                last = np.where(fresh[t], CLASSES, last)
+            x, u = inputs.take(last, 1), wh @ h
+            gates, g = x[: 2 * k], x[2 * k :]
+            gates += u[: 2 * k]
+            np.clip(gates, -30, 30, out=gates)
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            r = gates[k:]
+            r *= u[2 * k :]
+            g += r
+            np.tanh(g, out=g)
+            g -= h
+            g *= gates[:k]
+            h = h + g
+            d = out @ h
+            d += ob
+            if not steady:
+                d -= d.max(0)
+            last = grid[t]
+            here = d[last, each]
+            np.exp(d, out=d)
+            chosen[t] = here - np.log(d.sum(0))
+        if prior is not None:
+            chosen = np.log((1 - BLEND) * np.exp(chosen) + BLEND * prior.astype(np.float32)[grid])
+        for j, (at, stop) in enumerate(zip((base[:wide] + start).tolist(), stops.tolist(), strict=True)):
+            logs[at : at + stop] = chosen[:stop, j]
+    sums[order] = np.add.reduceat(logs.astype(np.float64), begins)
+    return sums
 
 
 _WEIGHTS = pa.schema([("at", pa.int32()), ("value", pa.float64()), ("tokens", pa.int64())])
-_SCORED = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n_tokens", pa.int64()), ("model", pa.float64())])
 
 
 def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -325,82 +313,284 @@ def _unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
     return {k: out[k] for k in Gru.NAMES}
 
 
-def fit_network(texts: DataFrame, log_prior: np.ndarray, train_share: int = TRAIN_SHARE) -> Gru:
-    """Each partition's network on its share of the training documents, averaged by tokens."""
+def fit_network(texts: DataFrame, log_prior: np.ndarray, rounds: tuple[float, ...] = ROUNDS, rate: float = 0.02) -> Gru:
+    """The network after all rounds: each training document is in one of them, by a hash of its id."""
+    weights = Gru(log_prior=log_prior).w
+    for k, share in enumerate(rounds):
+
+        def fit(batches: Iterator[pa.RecordBatch], start=weights, pace=rate * share) -> Iterator[pa.RecordBatch]:
+            net, streams, seen, held = Gru({name: w.copy() for name, w in start.items()}), [], 0, 0
+            for batch in slices(batches):
+                streams += class_streams(*text_bytes(batch.column("text")))
+                held = sum(map(len, streams))
+                if held > 400_000:
+                    net, seen, streams = train(net, streams, pace), seen + held, []
+            if streams:
+                net, seen = train(net, streams, pace), seen + sum(map(len, streams))
+            if seen:
+                flat = _flat(net.w)
+                yield batch_of(_WEIGHTS, np.arange(len(flat)), flat * seen, np.full(len(flat), seen))
+
+        mine = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(len(rounds))) == k)
+        mean = mine.select("text").mapInArrow(fit, spark_schema(_WEIGHTS)).groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
+        if mean:
+            flat = np.zeros(len(mean))
+            for r in mean:
+                flat[r["at"]] = r.value
+            weights = _unflat(flat)
+    return Gru(weights)
+
+
+def _merged(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, with class and summed counts."""
+    order = np.argsort(h)
+    h, c, n = h[order], c[order], n[order]
+    begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[begin], c[begin], np.add.reduceat(n, begin)
+
+
+def _cuts(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of an ascending key."""
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return zip(key[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(key)], strict=False)
+
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, streams, seen, held = Gru(log_prior=log_prior), [], 0, 0
+def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+
+
+def _read(table: pa.Table | pa.RecordBatch, column: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(column).to_pylist())])
+
+
+#: A hash range's words: hashes, classes and counts, packed.
+_WORDS = pa.schema([("r", pa.int32()), ("h", pa.binary()), ("c", pa.binary()), ("n", pa.binary())])
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """One row for each hash range: its words with class and count over all of ``texts``.
+
+    A task tells a range each word once (again only after ``_HOLD_WORDS`` others), so a frequent
+    word costs a row's part a task and what is sent grows with the vocabulary of tasks.
+    """
+    ranges = partitions(texts.sparkSession)
+
+    def rows(h, c, n) -> pa.RecordBatch:
+        return batch_of(_WORDS, *zip(*((r, h[a:b].tobytes(), c[a:b].tobytes(), n[a:b].tobytes()) for r, a, b in _cuts(_range_of(h, ranges))), strict=True))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in slices(batches):
-            _, c, row = tokens(*text_bytes(batch.column("text")))
-            streams += np.split(c, np.flatnonzero(np.diff(row)) + 1)
-            held += len(c)
-            if held > 400_000:
-                net, seen, streams, held = train(net, streams), seen + held, [], 0
-        if streams:
-            net, seen = train(net, streams), seen + held
-        if seen:
-            flat = _flat(net.w)
-            yield batch_of(_WEIGHTS, np.arange(len(flat)), flat * seen, np.full(len(flat), seen))
-
-    rows = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(train_share)) == 0).select("text").mapInArrow(fit, spark_schema(_WEIGHTS))
-    mean = rows.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
-    if not mean:
-        return Gru(log_prior=log_prior)
-    flat = np.zeros(len(mean))
-    for r in mean:
-        flat[r["at"]] = r.value
-    return Gru(_unflat(flat))
-
-
-def lm_scores(docs: DataFrame, mod: int = 10, train_share: int = TRAIN_SHARE) -> DataFrame:
+            h, c, _ = tokens(*text_bytes(batch.column("text")))
+            parts.append(_merged(h, c, np.ones(len(h), np.int64)))
+            held += len(parts[-1][0])
+            if held > _HOLD_WORDS:
+                parts = [_merged(*map(np.concatenate, zip(*parts, strict=True)))]
+                held = len(parts[0][0])
+                if held > _HOLD_WORDS // 2:
+                    yield rows(*parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield rows(*_merged(*map(np.concatenate, zip(*parts, strict=True))))
+
+    def add(table: pa.Table) -> pa.Table:
+        h, c, n = _merged(_read(table, "h", np.uint64), _read(table, "c", np.uint8), _read(table, "n", np.int64))
+        return pa.Table.from_batches([batch_of(_WORDS, [table.column("r")[0].as_py()], [h.tobytes()], [c.tobytes()], [n.tobytes()])], _WORDS)
+
+    return materialize(texts.select("text").mapInArrow(count, spark_schema(_WORDS)).groupBy("r").applyInArrow(add, spark_schema(_WORDS)), "counts")
+
+
+def _octave(n: np.ndarray) -> np.ndarray:
+    """Counts on a scale of eight steps an octave."""
+    return np.floor(np.log2(n) * 8).astype(np.int64)
+
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens (1) and words (2) of each class, words of each octave step of counts (3)."""
+    sums = np.zeros((3, 512), np.int64)
+    for batch in batches:
+        c, n = _read(batch, "c", np.uint8), _read(batch, "n", np.int64)
+        sums[0] += np.bincount(c, n, 512).astype(np.int64)
+        sums[1] += np.bincount(c, minlength=512)
+        sums[2] += np.bincount(_octave(n), minlength=512)
+    kind, at = np.nonzero(sums)
+    yield batch_of(pa.schema([("kind", pa.int32()), ("at", pa.int32()), ("n", pa.int64())]), kind + 1, at, sums[kind, at])
+
+
+def _split_at(least: int, frequent: bool):
+    """The words of a range whose octave step is ``least`` or more, or the others."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, h, n in zip(*(batch.column(c).to_pylist() for c in "rhn"), strict=True):
+                count = np.frombuffer(n, np.int64)
+                mine = (_octave(count) >= least) == frequent
+                if mine.any():
+                    yield batch_of(_ENTRIES, [r], [None], [None], [np.frombuffer(h, np.uint64)[mine].tobytes()], [count[mine].tobytes()])
+
+    return pick
+
+
+#: What a range gets: words with their counts (no rows), and rows' words with their frequencies there.
+_ENTRIES = pa.schema([("r", pa.int32()), ("rows", pa.binary()), ("at", pa.binary()), ("h", pa.binary()), ("n", pa.binary())])
+#: What a range tells a bucket of rows.
+_TOLD = pa.schema([("g", pa.int32()), ("rows", pa.binary()), ("logs", pa.binary()), ("known", pa.binary())])
+_PARTS = pa.schema([("k", pa.int64()), ("rare_logs", pa.float64()), ("rare_known", pa.int64())])
+_SCORED = pa.schema(
+    [("doc_id", pa.int64()), ("k", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("h", pa.binary()), ("n", pa.binary())]
+)
+
+
+def _row_sums(rows: np.ndarray, logs: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names, at = np.unique(rows, return_inverse=True)
+    return names, np.bincount(at, logs, len(names)), np.bincount(at, known, len(names)).astype(np.int64)
+
+
+def _rare_parts(scored: DataFrame, rare: DataFrame) -> DataFrame:
+    """(k, rare_logs, rare_known): over each row's words that tasks don't know, by hash ranges."""
+    ranges = partitions(scored.sparkSession)
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, rows, held = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            hs, ns, ks = np.concatenate(h), np.concatenate(n), np.concatenate(rows)
+            order, made = np.argsort(hs), []
+            hs, ns, ks = hs[order], ns[order], ks[order]
+            for r, a, b in _cuts(_range_of(hs, ranges)):
+                mine, at = np.unique(ks[a:b], return_inverse=True)
+                made.append((r, mine.tobytes(), at.astype(np.uint32).tobytes(), hs[a:b].tobytes(), ns[a:b].tobytes()))
+            return batch_of(_ENTRIES, *zip(*made, strict=True))
+
+        for batch in batches:
+            words = [np.frombuffer(x, np.uint64) for x in batch.column("h").to_pylist()]
+            if words:
+                h += words
+                n.append(_read(batch, "n", np.uint32))
+                rows.append(np.repeat(batch.column("k").to_numpy(), [len(x) for x in words]))
+                held += len(rows[-1])
+            if held > _HOLD_WORDS:
+                yield flush()
+                h, n, rows, held = [], [], [], 0
+        if held:
+            yield flush()
+
+    def look_up(table: pa.Table) -> pa.Table:
+        counted, asked = table.filter(table.column("rows").is_null()), table.filter(table.column("rows").is_valid())
+        words, _, counts = _merged(h := _read(counted, "h", np.uint64), h, _read(counted, "n", np.int64)) if counted.num_rows else (np.zeros(0, np.uint64), None, np.zeros(0, np.int64))
+        told: list[tuple] = []
+        if asked.num_rows:
+            rows, at, base = [], [], 0
+            for x, y in zip(asked.column("rows").to_pylist(), asked.column("at").to_pylist(), strict=True):
+                rows.append(np.frombuffer(x, np.int64))
+                at.append(np.frombuffer(y, np.uint32).astype(np.int64) + base)
+                base += len(rows[-1])
+            h, tf = _read(asked, "h", np.uint64), _read(asked, "n", np.uint32)
+            place = np.searchsorted(words, h)
+            found = np.append(words, np.uint64(0))[place] == h if len(words) else np.zeros(len(h), bool)
+            n = np.where(found & (place < len(words)), np.append(counts, 0)[place], 0)
+            owner = np.concatenate(rows)[np.concatenate(at)]
+            names, logs, known = _row_sums(owner, tf * np.log10(n + ALPHA), tf * (n > 0))
+            g = (mix(names.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(g, kind="stable")
+            names, logs, known = names[order], logs[order], known[order]
+            told = [(bucket, names[a:b].tobytes(), logs[a:b].tobytes(), known[a:b].tobytes()) for bucket, a, b in _cuts(g[order])]
+        return pa.Table.from_batches([batch_of(_TOLD, *(zip(*told, strict=True) if told else ([] for _ in _TOLD)))], _TOLD)
+
+    def gather(table: pa.Table) -> pa.Table:
+        parts = _row_sums(_read(table, "rows", np.int64), _read(table, "logs", np.float64), _read(table, "known", np.int64))
+        return pa.Table.from_batches([batch_of(_PARTS, *parts)], _PARTS)
+
+    asked = scored.where(F.length("h") > 0).select("k", "h", "n").mapInArrow(forward, spark_schema(_ENTRIES))
+    return asked.union(rare).groupBy("r").applyInArrow(look_up, spark_schema(_TOLD)).groupBy("g").applyInArrow(gather, spark_schema(_PARTS))
+
+
+def lm_scores(docs: DataFrame, mod: int = 10, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     Counts come from all documents whose id's remainder isn't 0. ``base_score`` is the unigram sum
     with add-0.1 smoothing, ``score`` the model's log10 probability of the whole text. A null or
     empty text is its end alone; repeated rows count and are scored again; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. ``frequent`` bounds the words that tasks know by
+    themselves; the others are looked up by a shuffle, with the same result.
     """
     spark = docs.sparkSession
     tune(spark)
-    ranges = partitions(spark)
-    texts = documents(docs).withColumn("k", F.xxhash64("text")).withColumn("training", id_remainder(mod) != 0)
-
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8_000_000):
-            h, c, row = tokens(*text_bytes(batch.column("text")))
-            yield _range_entries(h, c, row, batch.column("doc_id").to_numpy(), batch.column("k").to_numpy(), batch.column("training").to_numpy(zero_copy_only=False), ranges)
-
-    counted = materialize(texts.mapInArrow(forward, spark_schema(_ENTRIES)).groupBy("r").applyInArrow(_counter(ranges), spark_schema(_TOLD)), "counts")
-    # Two packed rows for each range: summed where they are, then CLASSES sums of each kind.
-    sums = counted.where("kind > 0").select("kind", "known").mapInArrow(_class_sums, "kind int, class int, n long").groupBy("kind", "class").agg(F.sum("n").alias("n")).collect()
-    size = np.zeros((2, CLASSES))
-    for r in sums:
-        size[r.kind - 1, r["class"]] = r.n
+    texts = documents(docs)
+    counted = word_counts(texts.where(id_remainder(mod) != 0))
+    size, steps = np.zeros((2, CLASSES)), np.zeros(512, np.int64)
+    # At most 2 * CLASSES + 512 sums.
+    for r in counted.select("c", "n").mapInArrow(_profile, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect():
+        if r.kind == 3:
+            steps[r["at"]] = r.n
+        else:
+            size[r.kind - 1, r["at"]] = r.n
     total, distinct = size.sum(1)
     inside = np.log10(size[0] + ALPHA * (size[1] + 1))
     prior = (size[0] + 1) / (size[0] + 1).sum()
-    net = fit_network(texts.where("training"), np.log(prior), train_share)
+    net = fit_network(texts.where(id_remainder(mod) != 0), np.log(prior))
+    # The lowest step from which on there are no more words than tasks may know.
+    over = np.flatnonzero(np.cumsum(steps[::-1])[::-1] > frequent)
+    least = int(over[-1]) + 1 if len(over) else 0
+    known = counted.mapInArrow(_split_at(least, True), spark_schema(_ENTRIES)).select("h", "n").collect()
+    words, _, counts = _merged(h := np.concatenate([np.zeros(1, np.uint64), *(np.frombuffer(r.h, np.uint64) for r in known)]), h, np.concatenate([np.zeros(1, np.int64), *(np.frombuffer(r.n, np.int64) for r in known)]))
+    logs = np.log10(counts + ALPHA)
+    rare = counted.mapInArrow(_split_at(least, False), spark_schema(_ENTRIES))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        k, held, streams, done = TaskContext.get().partitionId() << 33, 0, [], []
+
+        def flush() -> pa.RecordBatch:
+            c, count = np.concatenate(streams), np.concatenate([d[1] for d in done])
+            model = class_log_likelihood(net, c, np.repeat(np.arange(len(count)), count), len(count), prior)
+            doc, n_tokens, n_known, log, within = (np.concatenate([d[i] for d in done]) for i in range(5))
+            h, n = ([x for d in done for x in d[i]] for i in (5, 6))
+            return batch_of(_SCORED, doc, np.arange(k, k + len(doc)), n_tokens, n_known, log, model / np.log(10) - within, h, n)
+
         for batch in slices(batches):
-            _, c, row = tokens(*text_bytes(batch.column("text")))
-            n = batch.num_rows
-            model = class_log_likelihood(net, c, row, n, prior) / np.log(10) - np.bincount(row, inside[c], n)
-            yield batch_of(_SCORED, batch.column("doc_id"), batch.column("k"), np.bincount(row, minlength=n), model)
-
-    parts = counted.where("kind = 0").groupBy("g").applyInArrow(_gather_parts, spark_schema(_PARTS))
-    scored = materialize(texts.select("doc_id", "k", "text").mapInArrow(score, spark_schema(_SCORED)), "scored")
-    # Rows that repeat id and text share a key: their parts are summed, so they are divided again.
-    times = scored.groupBy("doc_id", "k").agg(F.count("*").alias("times"), F.first("n_tokens").alias("n_tokens"), F.first("model").alias("model"))
-    joined = times.join(parts, ["doc_id", "k"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    logs = F.col("log_counts") / F.col("times")
-    base = logs - F.col("n_tokens") * F.lit(float(np.log10(total + ALPHA * (distinct + 1))))
+            h, c, row = tokens(*text_bytes(batch.column("text")))
+            size, order = batch.num_rows, np.argsort(h)
+            sorted_, owner = h[order], row[order]
+            place = np.minimum(np.searchsorted(words, sorted_), len(words) - 1)
+            mine = (words[place] == sorted_) & (counts[place] > 0)
+            # The others of each row, by row: what a shuffle has to look up.
+            h2, row2 = sorted_[~mine], owner[~mine]
+            by_row = np.argsort(row2, kind="stable")
+            h2, row2 = h2[by_row], row2[by_row]
+            begin = np.flatnonzero(np.r_[True, (h2[1:] != h2[:-1]) | (row2[1:] != row2[:-1])]) if len(h2) else np.zeros(0, np.int64)
+            h2, row2, n2 = h2[begin], row2[begin], np.diff(np.r_[begin, len(h2)]).astype(np.uint32)
+            cut = np.searchsorted(row2, np.arange(size + 1)).tolist()
+            done.append(
+                (
+                    batch.column("doc_id").to_numpy(),
+                    np.bincount(row, minlength=size),
+                    np.bincount(owner[mine], minlength=size),
+                    np.bincount(owner[mine], logs[place[mine]], size),
+                    np.bincount(row, inside[c], size),
+                    [h2[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)],
+                    [n2[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)],
+                )
+            )
+            streams.append(c)
+            held += len(c)
+            if held > _HOLD_TOKENS or sum(len(d[0]) for d in done) > _HOLD_ROWS:
+                made = flush()
+                yield made
+                k, held, streams, done = k + made.num_rows, 0, [], []
+        if done:
+            yield flush()
+
+    scored = materialize(texts.mapInArrow(score, spark_schema(_SCORED)), "scored")
+    joined = scored.drop("h", "n").join(_rare_parts(scored, rare), "k", "left")
+    every = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     return joined.select(
         id_back(),
         (id_remainder(mod) == 0).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") / F.col("times")).cast("long").alias("n_known"),
+        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (F.col("model") + logs).alias("score"),
+        (every - F.col("n_tokens") * F.lit(float(np.log10(total + ALPHA * (distinct + 1))))).alias("base_score"),
+        (F.col("model") + every).alias("score"),
     )

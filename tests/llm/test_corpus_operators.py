@@ -221,7 +221,7 @@ def test_lm_scores(spark):
     rnd = random.Random(3)
     words = {0: "river stone apple window".split(), 1: "maison porte fenêtre jardin".split()}
     rows = [(i, " ".join(rnd.choice(words[i % 2]).title() if rnd.random() < 0.2 else rnd.choice(words[i % 2]) for _ in range(rnd.randint(5, 60)))) for i in range(150)] + ODD
-    got = lm_score.lm_scores(docs(spark, rows), train_share=1).collect()
+    got = lm_score.lm_scores(docs(spark, rows)).collect()
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + ["\0"] for _, t in rows]
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in rows]
     counts = Counter(w for h, ts in zip(held, tokens, strict=True) if not h for w in ts)
@@ -231,12 +231,25 @@ def test_lm_scores(spark):
     assert sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == expected
     prose = [r for r in got if r.doc_id is not None and r.held_out and r.doc_id >= 8]
     assert prose and sum(r.score for r in prose) > sum(r.base_score for r in prose)
+    # Whatever tasks know by themselves, all words or none or some, the sums are the same.
+    for known in (0, 3):
+        again = lm_score.lm_scores(docs(spark, rows), frequent=known).collect()
+        assert sorted((repr(r.doc_id), r.n_known, round(r.base_score, 4)) for r in again) == sorted((repr(r.doc_id), r.n_known, round(r.base_score, 4)) for r in got)
     assert lm_score.lm_scores(docs(spark, [])).count() == 0
 
 
+def test_words_are_counted_across_flushes(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "_HOLD_WORDS", 20)
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{rnd.randrange(40)}" for _ in range(30))) for i in range(2500)]
+    counted = lm_score.word_counts(docs(spark, rows).select("text")).collect()
+    got = Counter({h: n for r in counted for h, n in zip(np.frombuffer(r.h, np.uint64).tolist(), np.frombuffer(r.n, np.int64).tolist(), strict=True)})
+    assert sorted(got.values()) == sorted([*Counter(w for _, t in rows for w in t.split()).values(), len(rows)])
+
+
 def test_every_training_document_reaches_the_network(spark):
     rnd = random.Random(4)
-    rows = [(i, " ".join(rnd.choice("river stone apple window maison jardin".split()) for _ in range(30))) for i in range(6)]
+    rows = [(i, " ".join(rnd.choice("river stone apple window maison jardin".split()) for _ in range(300))) for i in range(6)]
     fit = lambda rows: lm_score.fit_network(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), np.zeros(lm_score.CLASSES)).w["ob"]
     whole = fit(rows)
     assert all(not np.array_equal(whole, fit([r for r in rows if r != one])) for one in rows)
