@@ -24,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import NULL_ID, batch_of, documents, slices, spark_schema, tune
+from lodestar.llm.common import NULL_ID, batch_of, documents, slices, span_hashes, spark_schema, text_bytes, tune
 
 SIZE = 1024
 SENTENCE, INSIDE, WINDOW, GRID = 1.0, 12.0, 4.0, 32
 #: Ids that are packed at once.
 STRETCH = 1 << 18
 #: Words an encoder remembers; it forgets them all when there are more.
-_CACHE = 1_000_000
+_CACHE = 2_000_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -39,8 +39,9 @@ class Encoder:
     """Ids of whole texts, as the library gives them for a byte-level BPE file.
 
     The file's pattern always ends a piece before a space between two characters that are no
-    white space, so what lies between such places is encoded by itself and remembered: texts
-    repeat their words. A text with a special token's string goes to the library whole.
+    white space, so what lies between such places is encoded by itself and remembered by its
+    64-bit hash: texts repeat their words. A text with a special token's string, or with white
+    space other than single spaces and line breaks, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -48,7 +49,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.forget()
         size = self.library.get_vocab_size()
         self.ends = np.zeros(size, bool)
         self.spaced = np.zeros(size, bool)
@@ -57,45 +58,82 @@ class Encoder:
             self.ends[k] = piece in self.special or piece[-1:] in ".!?" or "Ċ" in piece
             self.spaced[k] = piece[:1] == "Ġ"
 
-    def _learn(self, words: list[str]) -> None:
-        """Many words at once, as one text: each begins with the only space it has."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            joined = " " + " ".join(part)
-            if self.quick and not any(s in joined for s in self.special):
-                ids = np.array(self.quick.encode_ordinary(joined), np.uint32)
-            else:
-                ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.spaced[ids])
-            if len(cuts) != len(part):
-                for w in part:
-                    self.known[w] = self._whole(" " + w)
-            else:
-                raw, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
-                for w, a, b in zip(part, (cuts * 4).tolist(), ends, strict=True):
-                    self.known[w] = raw[a:b]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def forget(self) -> None:
+        """No word is known: ``ids[first : first + size]`` are those of the word with a hash of ``hashes``, which ascend."""
+        self.hashes, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _spaced_words(self, blob: str, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of ``n`` words end to end and how many each has: every word begins with the only space it has."""
+        if not self.quick and any(s in blob for s in self.special):
+            return None
+        ids = self.quick.encode_to_numpy(blob, disallowed_special=()) if self.quick else self._whole(blob)
+        cuts = np.flatnonzero(self.spaced[ids])
+        return (ids, np.diff(np.r_[cuts, len(ids)])) if len(cuts) == n else None
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        spaced = data[starts] == 32
+        parts, sizes = [], np.zeros(len(starts), np.int64)
+        order = np.r_[np.flatnonzero(spaced), np.flatnonzero(~spaced)]
+        n = int(spaced.sum())
+        if n:
+            blob = data[ranges(starts[order[:n]], (ends - starts)[order[:n]])].tobytes().decode()
+            known = self._spaced_words(blob, n)
+            if known is None:
+                every = [self._whole(data[a:b].tobytes().decode()) for a, b in zip(starts[order[:n]], ends[order[:n]], strict=True)]
+                known = np.concatenate(every), np.array([len(x) for x in every])
+            parts.append(known[0])
+            sizes[:n] = known[1]
+        for k, o in enumerate(order[n:].tolist(), n):
+            parts.append(self._whole(data[starts[o] : ends[o]].tobytes().decode()))
+            sizes[k] = len(parts[-1])
+        first = np.cumsum(sizes) - sizes + len(self.ids)
+        every = np.concatenate([self.hashes, hashes[order]])
+        by = np.argsort(every)
+        self.hashes, self.first, self.size = every[by], np.concatenate([self.first, first])[by], np.concatenate([self.size, sizes])[by]
+        self.ids = np.concatenate([self.ids, *parts])
+
+    def _look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of the words in what is known, after learning those that aren't."""
+        h = span_hashes(data, starts, ends)
+        order = np.argsort(h)
+        fresh = np.r_[True, h[order[1:]] != h[order[:-1]]]
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        words, sample = h[order[fresh]], order[fresh]
+        if len(self.hashes):
+            new = self.hashes[np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)] != words
+        else:
+            new = np.ones(len(words), bool)
+        if new.any():
+            if len(self.hashes) > _CACHE:
+                self.forget()
+                new[:] = True
+            self._learn(words[new], data, starts[sample[new]], ends[sample[new]])
+        return np.searchsorted(self.hashes, words)[which]
 
     def encode(self, texts: list[str], end: bytes = b"") -> list[np.ndarray]:
         """Ids of each text, with the bytes of a closing id behind them."""
         # Only a space between two words is such a place: texts with other spaces go whole.
-        split = [t.split(" ") if " " in t and self._plain(t) else None for t in texts]
-        words: set[str] = set()
-        for some in split:
-            if some is not None:
-                words.update(some)
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        self._learn(list(words.difference(self.known)))
-        get = self.known.__getitem__
-        made = []
-        for text, some in zip(texts, split, strict=True):
-            if some is None:
-                made.append(np.frombuffer(self._whole(text) + end, np.uint32))
+        plain = [" " in t and self._plain(t) for t in texts]
+        data, offsets = text_bytes(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.string()))
+        closing = np.frombuffer(end, np.uint32)
+        made: list[np.ndarray] = []
+        if any(plain):
+            starts = np.sort(np.concatenate([offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(data == 32)]))
+            place = self._look_up(data, starts, np.r_[starts[1:], len(data)])
+            size = self.size[place]
+            ids = self.ids[ranges(self.first[place], size)]
+            stops = np.cumsum(np.bincount(np.searchsorted(offsets, starts, side="right") - 1, size, len(texts)).astype(np.int64))
+        at = 0
+        for k, (text, p) in enumerate(zip(texts, plain, strict=True)):
+            if p:
+                made.append(np.concatenate([ids[at : stops[k]], closing]))
+                at = stops[k]
             else:
-                made.append(np.frombuffer(self._whole(some[0]) + b"".join([*map(get, some[1:]), end]), np.uint32))
+                made.append(np.concatenate([self._whole(text), closing]))
         return made
 
     def _plain(self, text: str) -> bool:
@@ -105,6 +143,12 @@ class Encoder:
         return not _ODD_SPACE.search(text) and not any(s in text for s in self.special)
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[k] .. starts[k] + sizes[k]``, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
