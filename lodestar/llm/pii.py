@@ -1,8 +1,9 @@
 """Personal data by weak supervision.
 
 Four exact patterns give the base spans. Beyond them, labelers of three sorts vote on every
-candidate (a token with a digit, an @ or a secret's shape): regular expressions, a gazetteer of
-domain and field words, and context words before it. The votes of the whole corpus are counted
+candidate: regular expressions, a gazetteer of domain and field words, and context words before
+it. Candidates are tokens of six signs or more with a digit, an @ or a secret's shape, and whatever
+is assigned to a word for a secret (``password: ...``, ``token = ...``). The votes of the whole corpus are counted
 by pattern (3**labelers at most, so a small table whatever the input), expectation-maximisation
 estimates each labeler's reliability from those counts, and a logistic span classifier is fitted
 to the resulting posteriors over features of the same bounded table. A candidate that the
@@ -68,8 +69,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-#: Candidates beyond the base: a run of signs that holds a digit or an @.
+#: Candidates beyond the base: a run of signs that holds a digit or an @ ...
 _CANDIDATE = re.compile(r"[^\s\"'<>()|=,;:]*[0-9@][^\s\"'<>()|=,;:]*")
+#: ... or is made of letters, but has a secret's shape or is assigned to a word for one.
+_LETTERS = re.compile(
+    r"\b(?:[A-Fa-f]{32,64}|(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?[A-Za-z]{12,})\b"
+    r"|\b(?i:token|secret|password|passwd|pwd|apikey|bearer)[\"']?[\x20\t]*[:=][\x20\t]*[\"']?(?P<value>[^\s\"'<>()|=,;:]{6,})"
+)
 # Words that stand before or inside personal data.
 _FIELDS = frozenset("token key secret password passwd pwd api apikey auth bearer".split())
 _CONTEXT = frozenset("token key secret password passwd pwd api auth bearer mail email e-mail phone tel telephone mobile card account iban ssn passport id ip".split())
@@ -87,9 +93,12 @@ _START = np.array([[0.7, 0.05]] * len(LABELERS))
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
     """(start, end, votes): a vote is 1 (personal), 0 (not) or 2 (no opinion)."""
     taken, k = base, 0
-    for m in _CANDIDATE.finditer(text):
-        token = m.group().rstrip(".!?*$&%#")
-        start, end = m.start(), m.start() + len(token)
+    found = [m.span() for m in _CANDIDATE.finditer(text)] if "@" in text or _HAS_DIGIT.search(text) else []
+    letters = [m.span("value") if m["value"] else m.span() for m in _LETTERS.finditer(text)]
+    found = sorted(found + [s for s in letters if not _CANDIDATE.search(text, *s)])
+    for start, end in found:
+        token = text[start:end].rstrip(".!?*$&%#")
+        end = start + len(token)
         while k < len(taken) and taken[k][1] <= start:
             k += 1
         if len(token) < 6 or any(a < end and start < b for a, b, _ in taken[max(0, k - 3) : k + 4]):
@@ -123,10 +132,9 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
         found: dict[str, int] = {}
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                if "@" in text or _HAS_DIGIT.search(text):
-                    for *_, votes in candidates(text, base_spans(text)):
-                        key = "".join(map(str, votes))
-                        found[key] = found.get(key, 0) + 1
+                for *_, votes in candidates(text, base_spans(text)):
+                    key = "".join(map(str, votes))
+                    found[key] = found.get(key, 0) + 1
         yield batch_of(_VOTES, list(found), list(found.values()))
 
     rows = docs.select("text").mapInArrow(count, spark_schema(_VOTES)).groupBy("pattern").agg(F.sum("n").alias("n"))
@@ -192,8 +200,6 @@ def extra_kind(votes: tuple[int, ...]) -> str:
 
 def all_spans(text: str, answers: dict[str, bool]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and base and added spans, each by start and kind."""
-    if not ("@" in text or _HAS_DIGIT.search(text)):
-        return [], []
     base = base_spans(text)
     added = [(a, b, extra_kind(v)) for a, b, v in candidates(text, base) if answers.get("".join(map(str, v)), False)]
     order = {k: i for i, k in enumerate((*KINDS, "contact", "secret", "number"))}
@@ -204,11 +210,11 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+_SPANS = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row of ``docs``.
 
     Offsets count code points, ends exclusive. Null and empty texts have no spans (the hash is
     that of the empty string); repeated rows are answered alike, an empty table gives no rows,
@@ -227,6 +233,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 *([sum(s[2] == k for s in base) for base, _ in rows] for k in KINDS),
                 [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows],
                 [joined(every) for _, every in rows],
+                [len(every) for _, every in rows],
             )
 
     return texts.mapInArrow(find, spark_schema(_SPANS)).withColumn("doc_id", id_back())
