@@ -5,7 +5,7 @@ m - q + 1 - k*q of its q-grams with it, on diagonals (text place minus passage p
 by k at most. So shared q-grams are counted in overlapping bands of diagonals, bands below that
 bound are dropped, and what is left is verified by alignment inside the band. Nothing within
 the edit budget is lost. Characters are bytes of the lower-cased text with white space runs as one
-space.
+space. A passage too short for that is looked for as it stands, between word boundaries.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import IS_SPACE, batch_of, documents, id_back, mix, slices, spark_schema, text_bytes, tune
+from lodestar.llm.common import IS_SPACE, NULL_ID, batch_of, documents, id_back, mix, slices, span_hashes, spark_schema, text_bytes, tune
 
 Q = 10
 RATE = 0.08
-MIN_CHARS = 25
+#: Passages below are matched without edits; of these, one of fewer words condemns no document.
+MIN_CHARS, MIN_WORDS = 25, 3
 WINDOW = 512
 #: Items that one pass over the documents looks for, and so what a task holds.
 BLOCK_ITEMS = 20_000
@@ -73,6 +74,16 @@ def align(passage: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int]
     return (int(row[end]), end) if row[end] <= most else None
 
 
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """For each place, and the end: whether a word may begin or end there."""
+    inside = _IN_WORD[data]
+    return np.r_[True, ~(inside[1:] & inside[:-1]), True]
+
+
 @dataclass
 class Hit:
     row: int
@@ -88,15 +99,25 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
         self.passages: list[np.ndarray] = []
         self.item: list[int] = []
+        short: dict[bytes, list[int]] = {}
         for item, text in sorted(set(items)):
             data, _ = normalise([(text or "").strip()])
             data = data[:-1]
             if len(data) < min_chars:
+                if len(data):
+                    short.setdefault(data.tobytes(), []).append(item)
                 continue
             windows = max(1, round(len(data) / WINDOW))
             for part in np.array_split(data, windows):
                 self.passages.append(part)
                 self.item.append(item)
+        #: Short passages by length: their hashes, ascending, and the passages.
+        self.short: dict[int, tuple[np.ndarray, list[tuple[bytes, list[int]]]]] = {}
+        for n in sorted(set(map(len, short))):
+            mine = [p for p in short if len(p) == n]
+            h = span_hashes(np.frombuffer(b"".join(mine), np.uint8), np.arange(len(mine)) * n, (np.arange(len(mine)) + 1) * n)
+            by = np.argsort(h)
+            self.short[n] = h[by], [(mine[k], short[mine[k]]) for k in by.tolist()]
         sizes = np.array([len(p) for p in self.passages], np.int64)
         self.budget = np.array([edit_budget(int(m), rate) for m in sizes], np.int64)
         self.need = sizes - Q + 1 - self.budget * Q
@@ -124,12 +145,36 @@ class Matcher:
         which = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         return np.repeat(at, count), self.owner[which], self.place[which]
 
+    def _short_hits(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Hit]:
+        """The first place of each text where a short passage stands between word boundaries."""
+        if not self.short or not len(data):
+            return
+        free = boundaries(data)
+        begins = np.flatnonzero(free[:-1] & (data != 0))
+        for n, (hashes, passages) in self.short.items():
+            at = begins[begins + n <= len(data)]
+            at = at[free[at + n]]
+            h = span_hashes(data, at, at + n)
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            seen = set()
+            for a, k in zip(at[hashes[place] == h].tolist(), place[hashes[place] == h].tolist(), strict=True):
+                row = int(np.searchsorted(offsets, a, side="right")) - 1
+                if (row, k) not in seen and data[a : a + n].tobytes() == passages[k][0]:
+                    seen.add((row, k))
+                    start = a - int(offsets[row])
+                    yield from (Hit(row, item, 0, start, start + n) for item in passages[k][1])
+
     def match(self, texts: list[str]) -> list[Hit]:
         """The best hit of each text and passage: fewest edits, then the first."""
         data, offsets = normalise(texts)
+        best: dict[tuple[int, int], Hit] = {}
+        for hit in self._short_hits(data, offsets):
+            old = best.get((hit.row, hit.item))
+            if old is None or hit.end < old.end:
+                best[hit.row, hit.item] = hit
         at, passage, place = self._shared(data)
         if not len(at):
-            return []
+            return sorted(best.values(), key=lambda h: (h.row, h.item))
         # Bands of diagonals: each is 2k+2 wide and overlaps its neighbour by half, so any k+1
         # neighbouring diagonals lie in one of them.
         width = self.budget[passage] + 1
@@ -144,7 +189,6 @@ class Matcher:
         counts = np.add.reduceat(new_gram.astype(np.int64), begin)
         keys = key[begin]
         good = counts >= self.need[keys >> 40]
-        best: dict[tuple[int, int], Hit] = {}
         for k in keys[good].tolist():
             p, b = k >> 40, k & ((1 << 40) - 1)
             budget, passage_ = int(self.budget[p]), self.passages[p]
@@ -169,7 +213,7 @@ class Matcher:
 
 def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``block``, each small enough for a task's memory."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("item_id"), "text").where("text IS NOT NULL").distinct()
     blocks = max(1, -(-items.count() // block))
     for k in range(blocks):
         yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
@@ -182,8 +226,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_
     """(doc_id, item_id, edits, start, end): each document and item it contains, at the best place.
 
     Places are bytes of the normalised text. An item is searched for by its windows of about 512
-    characters; one of fewer than ``min_chars`` is too short to tell and is left out, as are null
-    items. Null and empty texts and an empty table on either side give no rows; repeated rows
+    characters; one of fewer than ``min_chars`` without edits, between word boundaries. Items of
+    null or blank text are in no document; an item without an id is found like others and told by
+    a null. Null and empty texts and an empty table on either side give no rows; repeated rows
     give repeated hits; other columns are ignored. No shuffle: a block of items goes to the texts.
     """
     tune(docs.sparkSession)
@@ -199,13 +244,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_
 
         part = documents(docs).mapInArrow(find, spark_schema(_HITS))
         made = part if made is None else made.union(part)
-    return made.withColumn("doc_id", id_back())
+    return made.withColumn("doc_id", id_back()).withColumn("item_id", id_back("item_id"))
+
+
+def telling(text: str, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> bool:
+    """Whether an item says something of a document that contains it: not one or two words that any text may have."""
+    return len(text.split()) >= min_words or len(normalise([text.strip()])[0]) > min_chars
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item: a filter where the rows are, no join."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no item: a filter where the rows are, no join.
+
+    Items that are shorter than ``min_chars`` and of fewer than ``min_words`` words condemn no document.
+    """
     tune(docs.sparkSession)
     for items in item_blocks(benchmark):
+        items = [x for x in items if telling(x[1], min_chars, min_words)]
         matcher = Matcher(items, rate, min_chars)
 
         @F.pandas_udf(T.BooleanType())
