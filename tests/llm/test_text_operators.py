@@ -114,9 +114,19 @@ def test_pii_learns_secrets(spark):
     assert all("secret:" in got[i].spans for i in range(40)) and not any("secret:" in got[100 + i].spans for i in range(40))
     assert all(got[100 + i].n_email == 1 for i in range(40)) and got[902].spans == "" == got[901].spans
     assert got[901].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert all(r.n_spans == len([s for s in r.spans.split(",") if s]) for r in got.values())
     assert pii.find_pii(docs(spark, [])).count() == 0 and pii.find_pii(docs(spark)).count() == len(ODD)
 
 
+def test_pii_candidates_of_letters_only():
+    found = lambda t: [t[a:b] for a, b, _ in pii.candidates(t, pii.base_spans(t))]
+    assert found("key " + "abcdef" * 6 + " end") == ["abcdef" * 6]
+    assert found("use sk-abcdefghijklmnop, or not") == ["sk-abcdefghijklmnop"]
+    assert found('Password: "correcthorse" and token = qwertyuiop.') == ["correcthorse", "qwertyuiop"]
+    assert found("a token of some secret and a password that nobody knows") == []
+    assert found("token = abc123def456") == ["abc123def456"]
+
+
 def labelled(spark, n=300):
     rnd = random.Random(9)
     clean = lambda: " ".join(rnd.choice("river stone apple window quiet garden letter simple morning paper".split()) for _ in range(40))
@@ -192,6 +202,22 @@ def test_automaton_by_code_points_and_with_edited_stems():
     assert got[words.index("loser")] == (0, "loser") and got[words.index("looser")] == (1, "loser") and got[words.index("cretin")] == (1, "crétin")
 
 
+def test_cover_against_the_greedy_rule():
+    rnd = random.Random(8)
+    for _ in range(50):
+        docs_ = [sorted({f"w{rnd.randrange(9)}" for _ in range(rnd.randint(0, 4))}) for _ in range(rnd.randint(1, 30))]
+        terms, need, chosen = [f"w{k}" for k in range(9)], [2] * len(docs_), []
+        while True:
+            left = {t: [k for k, d in enumerate(docs_) if t in d and need[k] > 0] for t in terms if t not in chosen}
+            best = max(left, key=lambda t: (len(left[t]), len(t), t), default=None)
+            if best is None or len(left[best]) < 2:
+                break
+            chosen.append(best)
+            for k in left[best]:
+                need[k] -= 1
+        assert toxicity._cover(terms, docs_, 2, 2) == chosen
+
+
 def test_a_word_with_more_evidence_than_its_stem_stays(spark):
     toxic = [(i, f"tone{i} loser {' '.join(f'word{(i + k) % 7}' for k in range(3))}") for i in range(60)] + [(100 + i, f"tone{i} lose{e} word1") for i, e in enumerate(["tte", "ngo", "lka", "mux"] * 10)]
     clean = [(200 + i, f"calm{i} word{i % 7} {'losex' if i < 12 else 'river'}") for i in range(200)]
@@ -302,3 +328,27 @@ def test_decontamination_rows(spark):
     kept = decontam.drop_contaminated(docs(spark, rows), bench)
     assert kept.count() == len(rows) - 2 and kept.columns == docs(spark).columns
     assert decontam.contaminated(docs(spark, []), bench).count() == 0 and decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_short_benchmark_items(spark):
+    bench = spark.createDataFrame([(1, "short"), (2, "Big red dog"), (None, "is it so?"), (3, " "), (4, "big red dog")], "item_id long, text string")
+    rows = [(1, "a short one"), (2, "shorter, a big reddog"), (3, "My BIG  red\tdog, then a big red dog"), (4, "say is it so? yes"), (5, "is it sorry?"), (6, "big red dogs"), (7, "short"), (8, None)]
+    got = [(r.doc_id, r.item_id, r.edits, r.start, r.end) for r in decontam.contaminated(docs(spark, rows), bench).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1, 0, 2, 7), (3, 2, 0, 3, 14), (3, 4, 0, 3, 14), (4, None, 0, 4, 13), (7, 1, 0, 0, 5)], key=repr)
+    assert {r.doc_id for r in decontam.drop_contaminated(docs(spark, rows), bench).collect()} == {1, 2, 5, 6, 7, 8}
+
+
+def test_short_items_against_brute_force():
+    rnd = random.Random(7)
+    words = ["ab", "b", "a-b", "é", "ba"]
+    say = lambda n: "".join(rnd.choice(words) + rnd.choice([" ", ", ", "  ", "."]) for _ in range(n))
+    items = [(k, say(rnd.randint(1, 3)).strip()) for k in range(12)]
+    texts = [say(rnd.randint(0, 12)) for _ in range(300)]
+    got = {(h.row, h.item, h.start) for h in decontam.Matcher(items).match(texts)}
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t.lower())
+    for r, t in enumerate(texts):
+        for k, item in items:
+            free = lambda x, y: not (re.match(r"[^\W_]", x) and re.match(r"[^\W_]", y))
+            t2, p = plain(t), plain(item)
+            at = [m.start() for m in re.finditer(f"(?={re.escape(p)})", t2) if (m.start() == 0 or free(t2[m.start() - 1], p[0])) and (m.start() + len(p) == len(t2) or free(p[-1], t2[m.start() + len(p)]))]
+            assert {s for a, b, s in got if (a, b) == (r, k)} == {len(t2[: at[0]].encode())} if at else (r, k) not in {x[:2] for x in got}, (t, item)
