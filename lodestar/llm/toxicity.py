@@ -9,6 +9,7 @@ there are. A hit counts less when its window shows it to be quoted or talked abo
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -26,7 +27,6 @@ from lodestar.llm.quality import training_labels
 
 #: Labelled rows of each class that the lexicon is learned from, at most.
 MAX_LABELLED = 10_000
-MAX_TERMS = 400
 STEM = range(4, 9)
 _WORD = re.compile(r"[^\W_]+")
 # Verbs and nouns that speak of a word instead of using it, and quotation marks.
@@ -128,14 +128,20 @@ def compile_lexicon(lexicon: Lexicon, fuzzy_from: int = 5, fuzzy_stems: bool = F
 
     start = close({(0, 0)})
     number, queue, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
+
+    def numbered(states: frozenset[tuple[int, int]]) -> int:
+        if states not in number:
+            number[states] = len(number)
+            queue.append(states)
+        return number[states]
+
+    place = {c: k for k, c in enumerate(letters, 1)}
     for states in queue:
-        row = []
-        for c in (None, *letters):
-            target = after(states, c)
-            if target not in number:
-                number[target] = len(number)
-                queue.append(target)
-            row.append(number[target])
+        # Letters that follow no node of the state lead where a strange one does.
+        row = np.full(len(letters) + 1, numbered(after(states, None)), np.int32)
+        near = {c for node, _ in states if node >= 0 for c in trie[node]}
+        for c in sorted(near):
+            row[place[c]] = numbered(after(states, c))
         rows.append(row)
     term, distance = np.full(len(queue), -1, np.int32), np.zeros(len(queue), np.int32)
     for k, states in enumerate(queue):
@@ -144,7 +150,7 @@ def compile_lexicon(lexicon: Lexicon, fuzzy_from: int = 5, fuzzy_stems: bool = F
         ends += [(e, 1, 0.0, ~n) for n, e in states if n < 0]
         if ends:
             distance[k], _, _, term[k] = min(ends)
-    return Automaton(class_of, np.array(rows, np.int32), term, distance)
+    return Automaton(class_of, np.stack(rows), term, distance)
 
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,14 +286,21 @@ def _cover(candidates: list[str], docs: list[list[str]], least: int, times: int
     for k, terms in enumerate(docs):
         for t in terms:
             holders[t].add(k)
-    chosen, need = [], Counter({k: times for k in range(len(docs))})
-    alive = {t: holders[t] for t in candidates if len(holders.get(t, ())) >= least}
-    while alive and len(chosen) < MAX_TERMS:
-        best = max(alive, key=lambda t: (len(alive[t]), len(t), t))
-        chosen.append(best)
-        need.subtract(alive[best])
-        done = {k for k in alive[best] if need[k] <= 0}
-        alive = {t: left for t, h in alive.items() if t != best and len(left := h - done if done else h) >= least}
+    chosen, need = [], [times] * len(docs)
+    # Of terms in as many texts the longest, then the last by name. What a term still explains only
+    # falls, so it is counted anew when its turn comes.
+    order = {t: k for k, t in enumerate(sorted(candidates, key=lambda t: (len(t), t), reverse=True))}
+    heap = [(-len(holders[t]), k, t) for t, k in order.items() if len(holders.get(t, ())) >= least]
+    heapq.heapify(heap)
+    while heap:
+        known, k, t = heapq.heappop(heap)
+        open_ = [d for d in holders[t] if need[d] > 0]
+        if len(open_) == -known:
+            chosen.append(t)
+            for d in open_:
+                need[d] -= 1
+        elif len(open_) >= least:
+            heapq.heappush(heap, (-len(open_), k, t))
     return chosen
 
 
@@ -315,11 +328,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     words = counts.where((F.col("n1") >= least) & (F.length("word") >= 3) & rare)
     stems = counts.where(F.length("word") >= STEM.start).select(F.explode(F.sequence(F.lit(STEM.start), F.least(F.lit(STEM.stop - 1), F.length("word")))).alias("size"), "word", "n0", "n1")
     stems = stems.groupBy(F.substring("word", 1, F.col("size")).alias("word")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("forms")).where((F.col("n1") >= 4 * least) & (F.col("forms") >= 4) & rare)
-    top = 20_000
-    word_n = {r.word: (r.n0, r.n1) for r in words.orderBy(F.desc("n1"), "word").limit(top).collect()}
-    stem_n = {r.word: (r.n0, r.n1) for r in stems.orderBy(F.desc("n1"), "word").limit(top).collect()}
+    # Bounded by the sample: words that ``least`` of its toxic texts have.
+    word_n = {r.word: (r.n0, r.n1) for r in words.collect()}
+    stem_n = {r.word: (r.n0, r.n1) for r in stems.collect()}
     # Of the stems of one growth, the longest that still has nearly all of it.
-    stem_n = {s: n for s, n in stem_n.items() if not any(t != s and t.startswith(s) and m[1] >= 0.95 * n[1] for t, m in stem_n.items())}
+    most_of = defaultdict(int)
+    for t, m in stem_n.items():
+        for size in range(STEM.start, len(t)):
+            most_of[t[:size]] = max(most_of[t[:size]], m[1])
+    stem_n = {s: n for s, n in stem_n.items() if most_of[s] < 0.95 * n[1]}
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,8 +369,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
             picked = [keep[r][: sizes[t]] for r, t in zip(row[distance > 0], term[distance > 0], strict=True)]
             yield batch_of(pa.schema([("word", pa.string())]), picked)
 
-    near = counts.where("n0 > 0").select("word").mapInArrow(neighbours, "word string")
-    found.innocent = frozenset(r.word for r in near.limit(100_000).collect())
+    near = counts.where("n0 > 0").select("word").mapInArrow(neighbours, "word string").distinct()
+    found.innocent = frozenset(r.word for r in near.collect())
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
