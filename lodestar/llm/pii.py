@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,8 @@ _LETTERS = re.compile(
     r"\b(?:[A-Fa-f]{32,64}|(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?[A-Za-z]{12,})\b"
     r"|\b(?i:token|secret|password|passwd|pwd|apikey|bearer)[\"']?[\x20\t]*[:=][\x20\t]*[\"']?(?P<value>[^\s\"'<>()|=,;:]{6,})"
 )
+#: Which texts may have one of ``_LETTERS``, for a whole column at once.
+_MAYBE_LETTERS = r"\b(?:[A-Fa-f]{32}|(?:sk|pk|ghp|gho|AKIA|xox[bp])[-_]?[A-Za-z]{12})|\b(?i:token|secret|password|passwd|pwd|apikey|bearer)[\"']?[\x20\t]*[:=]"
 # Words that stand before or inside personal data.
 _FIELDS = frozenset("token key secret password passwd pwd api apikey auth bearer".split())
 _CONTEXT = frozenset("token key secret password passwd pwd api auth bearer mail email e-mail phone tel telephone mobile card account iban ssn passport id ip".split())
@@ -90,12 +93,19 @@ LABELERS = ("secret_shape", "number_shape", "mail_shape", "field_before", "conte
 _START = np.array([[0.7, 0.05]] * len(LABELERS))
 
 
-def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+def texts_and_hints(batch: pa.RecordBatch) -> Iterator[tuple[str, bool]]:
+    """The texts, and whether each may have a candidate of letters only."""
+    col = batch.column("text")
+    return zip(col.to_pylist(), pc.match_substring_regex(col, _MAYBE_LETTERS).to_pylist(), strict=True)
+
+
+def candidates(text: str, base: list[tuple[int, int, str]], letters_too: bool = True) -> Iterator[tuple[int, int, tuple[int, ...]]]:
     """(start, end, votes): a vote is 1 (personal), 0 (not) or 2 (no opinion)."""
     taken, k = base, 0
     found = [m.span() for m in _CANDIDATE.finditer(text)] if "@" in text or _HAS_DIGIT.search(text) else []
-    letters = [m.span("value") if m["value"] else m.span() for m in _LETTERS.finditer(text)]
-    found = sorted(found + [s for s in letters if not _CANDIDATE.search(text, *s)])
+    if letters_too:
+        letters = [m.span("value") if m["value"] else m.span() for m in _LETTERS.finditer(text)]
+        found = sorted(found + [s for s in letters if not _CANDIDATE.search(text, *s)])
     for start, end in found:
         token = text[start:end].rstrip(".!?*$&%#")
         end = start + len(token)
@@ -131,8 +141,8 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, int] = {}
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for *_, votes in candidates(text, base_spans(text)):
+            for text, letters in texts_and_hints(batch):
+                for *_, votes in candidates(text, base_spans(text), letters):
                     key = "".join(map(str, votes))
                     found[key] = found.get(key, 0) + 1
         yield batch_of(_VOTES, list(found), list(found.values()))
@@ -198,10 +208,10 @@ def extra_kind(votes: tuple[int, ...]) -> str:
     return "contact" if votes[2] == 1 else "secret" if votes[0] == 1 or votes[3] == 1 else "number"
 
 
-def all_spans(text: str, answers: dict[str, bool]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def all_spans(text: str, answers: dict[str, bool], letters_too: bool = True) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and base and added spans, each by start and kind."""
     base = base_spans(text)
-    added = [(a, b, extra_kind(v)) for a, b, v in candidates(text, base) if answers.get("".join(map(str, v)), False)]
+    added = [(a, b, extra_kind(v)) for a, b, v in candidates(text, base, letters_too) if answers.get("".join(map(str, v)), False)]
     order = {k: i for i, k in enumerate((*KINDS, "contact", "secret", "number"))}
     return base, sorted(base + added, key=lambda s: (s[0], order[s[2]]))
 
@@ -226,7 +236,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [all_spans(t, answers) for t in batch.column("text").to_pylist()]
+            rows = [all_spans(t, answers, letters) for t, letters in texts_and_hints(batch)]
             yield batch_of(
                 _SPANS,
                 batch.column("doc_id"),

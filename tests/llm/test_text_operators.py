@@ -125,6 +125,11 @@ def test_pii_candidates_of_letters_only():
     assert found('Password: "correcthorse" and token = qwertyuiop.') == ["correcthorse", "qwertyuiop"]
     assert found("a token of some secret and a password that nobody knows") == []
     assert found("token = abc123def456") == ["abc123def456"]
+    rnd = random.Random(1)
+    parts = ["token", "Secret", " ", "=", ":", '"', "abcdef" * 6, "sk-", "ghp_", "é", "abcdefghijklmn", "x", "\t", "password", "_", "\n", "1"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(5000)]
+    hints = pii.texts_and_hints(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+    assert all(hint or not pii._LETTERS.search(t) for t, hint in hints)
 
 
 def labelled(spark, n=300):
