@@ -152,6 +152,37 @@ def test_graph_search_recall(spark):
     assert g.search(v[0], 3)[0][1] != 0 and ann.Graph(v[:0]).build().search(v[0], 3) == []
 
 
+def test_graph_links_many_rows_as_it_links_one():
+    rng = np.random.default_rng(4)
+    for metric in ("cosine", "l2"):
+        g = ann.Graph(rng.normal(size=(60, 5)), metric)
+        d = g._between(g.vectors, g.vectors)
+        near = np.argsort(d, 1, kind="stable")[:, 1:21]
+        taken = g._diverse_rows(g.vectors, np.take_along_axis(d, near, 1), near, 6)
+        for k in range(60):
+            assert near[k][taken[k]].tolist() == g._diverse([(d[k, n], n) for n in near[k].tolist()], 6)
+
+
+def test_graph_of_repeated_and_zero_rows():
+    v = np.concatenate([np.zeros((40, 4)), np.ones((300, 4)), np.random.default_rng(1).normal(size=(200, 4))]).astype(np.float32)
+    for metric in ("cosine", "l2"):
+        g = ann.Graph(v, metric, ef_construction=40).build()
+        assert all(len(links) <= (32 if at == 0 else 16) for node in g.links for at, links in enumerate(node))
+        exact = search.distances(v[-50:], v, metric)
+        found = [[n for _, n in g.search(q, 5)] for q in v[-50:]]
+        # Of rows as near as each other any will do.
+        assert np.mean([exact[k, f].max() <= np.sort(exact[k])[4] + 1e-6 for k, f in enumerate(found)]) >= 0.93
+
+
+def test_index_extended_by_later_rows(spark):
+    rows = frame(spark, vectors(300, 16))
+    first, asked = rows.where("id < 200"), rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = ann.extend_index(ann.build_index(first, shard_rows=120, ef_construction=60), rows, ef_construction=60)
+    assert index.select("id").distinct().count() == index.count() == 300
+    assert search.recall(search.nearest_batch(rows, asked, 10), ann.search_index(index, asked, 10)).first().recall >= 0.93
+    assert ann.extend_index(ann.build_index(rows.limit(0)), first).count() == 200
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "snap")
     assert snapshots.load_snapshot(spark, root) is None
