@@ -111,9 +111,18 @@ def atoi(text: str) -> int:
 
 def keywords(c: Column | str, stop_words: tuple[str, ...] = ()) -> Column:
     """Lower-case words of more than two letters, no numbers, no stop words."""
-    cleaned = F.regexp_replace(F.lower(_column(c)), r"[^\p{L}\p{N}\s]", " ")
-    kept = F.filter(F.split(cleaned, "\\s+"), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$"))
-    return F.filter(kept, lambda w: ~w.isin(*stop_words)) if stop_words else kept
+    return F.filter(raw_keywords(c), lambda w: is_keyword(w, stop_words))
+
+
+def raw_keywords(c: Column | str) -> Column:
+    """All lower-case words, empty ones among them."""
+    return F.split(F.regexp_replace(F.lower(_column(c)), r"[^\p{L}\p{N}\s]", " "), "\\s+")
+
+
+def is_keyword(word: Column | str, stop_words: tuple[str, ...] = ()) -> Column:
+    w = _column(word)
+    kept = (F.length(w) > 2) & ~w.rlike("^[0-9]+$")
+    return kept & ~w.isin(*stop_words) if stop_words else kept
 
 
 def wordpieces(c: Column | str, vocabulary: dict[str, int], prefix: str = " ", max_length: int | None = 512) -> Column:
@@ -126,20 +135,49 @@ def wordpieces(c: Column | str, vocabulary: dict[str, int], prefix: str = " ", m
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(texts):
-        return texts.map(lambda t: encode_words(t.split(" ") if t else [], pieces, longest, prefix, max_length))
+        import numpy as np
+        import pandas as pd
+
+        # Words repeat within a batch: each is cut up once.
+        known: dict[str, np.ndarray] = {}
+
+        def ids(text: str) -> np.ndarray:
+            if max_length is not None and max_length < 2:
+                return np.zeros(0, np.int32)
+            parts, held = [np.zeros(1, np.int32)], 1
+            for word in text.split(" ") if text else ():
+                if max_length is not None and held >= max_length - 1:
+                    break
+                if word not in known:
+                    known[word] = np.array(word_pieces(word, pieces, longest, prefix), np.int32)
+                parts.append(known[word])
+                held += len(known[word])
+            made = np.concatenate(parts)
+            return np.append(made if max_length is None else made[: max_length - 1], np.int32(2))
+
+        return pd.Series([ids(t) for t in texts], dtype=object)
 
     return encode(F.array_join(words(normalize(F.coalesce(_column(c), F.lit("")))), " "))
 
 
+def word_pieces(word: str, pieces: dict[bytes, int], longest: int, prefix: str) -> list[int]:
+    """Ids of the longest pieces from left to right; bytes that begin none are passed over."""
+    raw, at, out = (prefix + word).encode(), 0, []
+    while at < len(raw):
+        size = next((n for n in range(min(longest, len(raw) - at), 0, -1) if raw[at : at + n] in pieces), 0)
+        if size:
+            out.append(pieces[raw[at : at + size]])
+        at += size or 1
+    return out
+
+
 def encode_words(found: list[str], pieces: dict[bytes, int], longest: int, prefix: str, max_length: int | None) -> list[int]:
+    """0, the pieces of the words and 2, ``max_length`` at most (None: all)."""
     if max_length is not None and max_length < 2:
         return []
     out = [0]
     for word in found:
-        raw, at = (prefix + word).encode(), 0
-        while at < len(raw) and (max_length is None or len(out) < max_length - 1):
-            size = next((n for n in range(min(longest, len(raw) - at), 0, -1) if raw[at : at + n] in pieces), 0)
-            if size:
-                out.append(pieces[raw[at : at + size]])
-            at += size or 1
-    return [*out, 2]
+        if max_length is not None and len(out) >= max_length - 1:
+            break
+        out += word_pieces(word, pieces, longest, prefix)
+    return [*(out if max_length is None else out[: max_length - 1]), 2]

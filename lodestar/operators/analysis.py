@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import chunk_name, chunk_number, chunk_path, keywords
+from lodestar.functions.text import chunk_name, chunk_number, chunk_path, is_keyword, raw_keywords
 
 
 def cluster_count(n: int) -> int:
@@ -41,7 +41,7 @@ def top_tokens(rows: DataFrame, key: str, token: str, n: int = 3) -> DataFrame:
 
 def cluster_labels(rows: DataFrame, text: str, cluster: str = "cluster", stop_words: tuple[str, ...] = (), n: int = 3) -> DataFrame:
     """(cluster, label): ``Grupo c: A | B | C``, or ``(Varios)`` without keywords."""
-    tokens = rows.select(cluster, F.explode(keywords(text, stop_words)).alias("token"))
+    tokens = rows.select(cluster, F.explode(raw_keywords(text)).alias("token")).where(is_keyword("token", stop_words))
     best = top_tokens(tokens, cluster, "token", n)
     named = best.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("rank", F.initcap("token").alias("w")))).alias("p"))
     named = rows.select(cluster).distinct().join(named, cluster, "left")

@@ -32,6 +32,11 @@ def decode(coded: DataFrame) -> DataFrame:
     return coded.withColumn("decoded", dequantize("codes", "low", "scale"))
 
 
+def steps(coded: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """With each vector as its codes times their scale: plain squared distances of these are ``quantized_l2``."""
+    return coded.withColumn(vec_col, F.zip_with("codes", "scale", lambda c, s: c * s))
+
+
 def reconstruction_error(rows: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """Rows with ``error``: squared distance of each vector to its decoded codes."""
     coded = decode(encode(rows, train(rows, vec_col), vec_col))

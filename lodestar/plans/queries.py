@@ -163,10 +163,8 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall@10 of a search over 8-bit codes against the exact one."""
     rows = base(spark, sf_dir)
     exact = search.nearest_batch(rows, asked(rows), 10, "l2")
-    coded = quantization.encode(rows, quantization.train(rows))
-    q = coded.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("codes").alias("asked"))
-    found = search.ranked(coded.crossJoin(F.broadcast(q)).select("query_id", "id", F.round(vx.quantized_l2("codes", "asked", "scale"), 6).alias("distance")), 10)
-    return search.recall(exact, found)
+    coded = quantization.steps(quantization.encode(rows, quantization.train(rows)))
+    return search.recall(exact, search.nearest_batch(coded, asked(coded), 10, "l2"))
 
 
 @query()
@@ -256,7 +254,7 @@ c AS (SELECT lang, token, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, ro
 SELECT lang, token, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"""
 )
 def token_topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select("lang", F.explode(tx.words(tx.normalize("text"))).alias("token"))
+    tokens = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(tx.normalize("text"), "[ \\t\\n\\r]+")).alias("token")).where("token <> ''")
     return analysis.top_tokens(tokens, "lang", "token")
 
 

@@ -137,6 +137,10 @@ def test_text_functions(spark):
     got = d.sparkSession.createDataFrame([("Hello, wzllo",), ("",), (None,)], "t string").select(tx.wordpieces("t", vocab).alias("p")).collect()
     assert [r.p for r in got] == [[0, 5, 8, 7, 2], [0, 2], [0, 2]]
     assert d.sparkSession.createDataFrame([("hello hello hello",)], "t string").select(tx.wordpieces("t", vocab, max_length=3).alias("p")).first().p == [0, 5, 2]
+    pieces = {k.encode(): v for k, v in vocab.items()}
+    for most in (None, 1, 2, 3, 4, 5, 9):
+        found = d.sparkSession.createDataFrame([("hello whe helloo hello",)], "t string").select(tx.wordpieces("t", vocab, max_length=most).alias("p")).first().p
+        assert found == tx.encode_words("hello whe helloo hello".split(), pieces, 6, " ", most) and len(found) <= (most or 99)
 
 
 def test_graph_search_recall(spark):
@@ -220,6 +224,10 @@ def test_embedding_and_pooling(spark):
     e = HashedNgrams(32)
     d = spark.createDataFrame([("hello world",), ("",), (None,)], "t string").select(embed_column("t", e).alias("v")).collect()
     assert abs(sum(x * x for x in d[0].v) - 1) < 1e-5 and set(d[1].v) == set(d[2].v) == {0.0}
+    texts = ["", "a", " A\t", "Word word", "é\u3000世界 x", "\n", "word " * 300]
+    assert all(np.array_equal(x, e.embed(t)) for x, t in zip(e.embed_many(texts), texts, strict=True)) and e.embed_many([]) == []
+    # The trigrams are those of each word between spaces, whatever parts the words.
+    assert np.array_equal(e.embed("one two"), e.embed("TWO\n\n one ")) and np.allclose(e.embed("one one"), e.embed("one")) and not np.allclose(e.embed("onetwo"), e.embed("one two"))
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "k int, embedding array<float>")
     assert mean_pool(rows, "k").first().embedding == [0.5, 0.5]
 
