@@ -80,6 +80,20 @@ def nodes(log: DataFrame, metric: str = "cosine") -> DataFrame:
     return kept.repartition("id").sortWithinPartitions("id", "seq").mapInArrow(run, from_arrow_schema(_NODES))
 
 
+def nodes_since(saved: DataFrame, log: DataFrame, metric: str = "cosine") -> DataFrame:
+    """``nodes`` of a whole log, from the nodes of its beginning (``saved``) and its later rows (``log``).
+
+    Only ids that later rows name are folded again; the other saved nodes pass through, unless a
+    flush among the later rows ends them all.
+    """
+    flushes = log.where(F.col("op") == FLUSH).agg(F.count("*").alias("__flushes"))
+    kept = saved.crossJoin(F.broadcast(flushes)).where("__flushes = 0").drop("__flushes")
+    named = log.where("id IS NOT NULL").select("id").distinct()
+    again = saved.where("NOT deleted").join(named, "id", "left_semi").select(F.col("internal_id").alias("seq"), F.lit(SET).alias("op"), "id", "embedding")
+    still = kept.where("deleted").unionByName(kept.where("NOT deleted").join(named, "id", "left_anti"))
+    return still.unionByName(nodes(again.unionByName(log.select("seq", "op", "id", "embedding")), metric))
+
+
 def live_nodes(log: DataFrame, metric: str = "cosine") -> DataFrame:
     return nodes(log, metric).where("NOT deleted").drop("deleted", "deleted_at")
 

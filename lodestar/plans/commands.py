@@ -2,12 +2,13 @@
 
 Commands: PING, VSET, VSEARCH, TSET, TSEARCH, HGETALL, DELETE (DEL, TDEL), INFO, SAVE, FLUSHDB,
 QUIT, and IMPORT for files. Names are case-insensitive. Writes collect in batches that become one
-append each; reads are plans over the log.
+append each; reads are plans over the last snapshot and the log rows since.
 """
 
 from __future__ import annotations
 
 import logging
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,9 @@ from lodestar.operators.embedding import Embedder, embed_column
 from lodestar.operators.search import THRESHOLD, nearest
 from lodestar.sources.config import Settings
 from lodestar.sources.imports import import_lines
-from lodestar.sources.snapshots import load_snapshot, save_snapshot
+from lodestar.sources.snapshots import last_version, load_snapshot, save_snapshot
 
+VERSION = "0.2"
 BATCH = 2000
 HGETALL_LIMIT = 100
 _log = logging.getLogger("lodestar")
@@ -102,12 +104,18 @@ class Engine:
     seq: int = -1
     closed: bool = False
     dirty: bool = False
+    saved: tuple[str, int] | None = None
 
     def __post_init__(self) -> None:
         if self.embedder and self.embedder.dim != self.settings.dim:
             raise ValueError("the embedder's size isn't the index's")
         last = self.log().agg(F.max("seq")).first()[0]
         self.seq = -1 if last is None else last
+        self.saved = last_version(self.spark, self._snapshots)
+
+    @property
+    def _snapshots(self) -> str:
+        return f"{self.root}/snapshots"
 
     def log(self) -> DataFrame:
         """All log rows, those not yet appended included."""
@@ -133,7 +141,11 @@ class Engine:
             self.flush()
 
     def nodes(self) -> DataFrame:
-        return store.nodes(self.log(), self.metric)
+        if self.saved is None:
+            return store.nodes(self.log(), self.metric)
+        version, seq = self.saved
+        # A filter that the scan of the log takes: files of rows that are saved already are passed over.
+        return store.nodes_since(load_snapshot(self.spark, self._snapshots, version), self.log().where(F.col("seq") > seq), self.metric)
 
     def _embed(self, text: str) -> list[float]:
         if self.embedder is None:
@@ -141,7 +153,7 @@ class Engine:
         return [float(x) for x in self.embedder.embed(text)]
 
     def _search(self, k: int, vector: list[float]) -> DataFrame:
-        return nearest(store.live_nodes(self.log(), self.metric), vector, k, self.metric, THRESHOLD)
+        return nearest(self.nodes(), vector, k, self.metric, THRESHOLD)
 
     def execute(self, line: str) -> str | DataFrame:
         """The reply: a status line or a table. Raises CommandError where the reply is an error."""
@@ -173,10 +185,11 @@ class Engine:
             self._append(store.DELETE, c.id)
             return "+OK"
         if c.name == "INFO":
-            return store.info(self.nodes(), {"dirty": int(self.dirty), **self.settings.as_dict()})
+            now = {"version": VERSION, "pid": os.getpid(), "path": self.root, "model": type(self.embedder).__name__ if self.embedder else "none", "dirty": int(self.dirty)}
+            return store.info(self.nodes(), {**now, **{k: v for k, v in self.settings.as_dict().items() if k != "dim"}})
         if c.name == "SAVE":
             self.flush()
-            save_snapshot(self.nodes(), f"{self.root}/snapshots")
+            self.saved = save_snapshot(self.nodes(), self._snapshots, self.seq), self.seq
             self.dirty = False
             return "+OK"
         self._append(store.FLUSH)
@@ -210,7 +223,7 @@ class Engine:
 
     def restore(self) -> DataFrame | None:
         """The nodes of the last SAVE."""
-        return load_snapshot(self.spark, f"{self.root}/snapshots")
+        return load_snapshot(self.spark, self._snapshots)
 
 
 def resp(reply: str | DataFrame, most: int = 10_000) -> str:

@@ -19,28 +19,29 @@ DELETED_BIT = 1 << 31
 MOST_ID_BYTES = 4095
 
 
-def save_snapshot(nodes: DataFrame, root: str) -> str:
-    """Write a new version of ``nodes`` under ``root`` and point to it. Returns the version."""
+def save_snapshot(nodes: DataFrame, root: str, seq: int = -1) -> str:
+    """Write a new version of ``nodes`` under ``root`` and point to it, telling the last log row in it. Returns the version."""
     spark = nodes.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     nodes.write.parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    spark.createDataFrame([(version, seq)], "version string, seq long").withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return version
 
 
-def snapshot_version(spark: SparkSession, root: str) -> str | None:
+def last_version(spark: SparkSession, root: str) -> tuple[str, int] | None:
+    """The version last pointed to and the last log row in it, or None."""
     from pyspark.errors import AnalysisException
 
     try:
         last = spark.read.parquet(f"{root}/versions").orderBy(F.desc("saved_at"), "version").first()
     except AnalysisException:
         return None
-    return last.version if last else None
+    return (last.version, last.seq) if last else None
 
 
-def load_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The version last pointed to, or None."""
-    version = snapshot_version(spark, root)
+def load_snapshot(spark: SparkSession, root: str, version: str | None = None) -> DataFrame | None:
+    """A version, or that last pointed to; None if there is none."""
+    version = version or (last_version(spark, root) or (None,))[0]
     return spark.read.parquet(f"{root}/{version}") if version else None
 
 

@@ -187,6 +187,19 @@ def test_index_extended_by_later_rows(spark):
     assert ann.extend_index(ann.build_index(rows.limit(0)), first).count() == 200
 
 
+def test_nodes_from_a_saved_beginning(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(4):
+        rows = [(k, rng.choice(["set", "set", "set", "del"]).item(), f"i{rng.integers(5)}", rng.integers(-1, 2, 2).astype(float).tolist()) for k in range(40)]
+        rows = [(s, op, i, None if op == "del" else v) for s, op, i, v in rows]
+        if rng.random() < 0.5:
+            at = int(rng.integers(40))
+            rows[at] = (at, "flush", None, None)
+        cut = int(rng.integers(5, 35))
+        told = lambda d: sorted((r.internal_id, r.id, r.deleted, r.deleted_at, tuple(r.embedding)) for r in d.collect())
+        assert told(store.nodes_since(store.nodes(log(spark, rows[:cut])), log(spark, rows[cut:]))) == told(store.nodes(log(spark, rows)))
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "snap")
     assert snapshots.load_snapshot(spark, root) is None
@@ -273,6 +286,9 @@ def test_engine(spark, tmp_path):
     assert again.seq == e.seq and [r.id for r in again.execute("VSEARCH 5 [0,1]").collect()] == []  # the tombstone survives
     assert {r.key: r.value for r in again.execute("INFO").collect()}["total_keys"] == "2"
     assert again.restore().count() == 2
+    # What comes after a save is folded on top of it.
+    assert again.run(["VSET a [0,1]", "VSET c [1,1]", "VSET a [0,2]", "SAVE", "DEL c"]) == ["+OK"] * 5
+    assert [(r.internal_id, r.id, r.deleted) for r in again.nodes().orderBy("internal_id").collect()] == [(r.internal_id, r.id, r.deleted) for r in store.nodes(again.log()).orderBy("internal_id").collect()]
     assert again.execute("FLUSHDB") == "+OK" and again.execute("HGETALL").count() == 0
     assert again.execute("QUIT") == "+OK bye" and again.closed
 
