@@ -434,20 +434,20 @@ def _split_at(least: int, frequent: bool):
 #: What a range gets: words with their counts (no rows), and rows' words with their frequencies there.
 _ENTRIES = pa.schema([("r", pa.int32()), ("rows", pa.binary()), ("at", pa.binary()), ("h", pa.binary()), ("n", pa.binary())])
 #: What a range tells a bucket of rows.
-_TOLD = pa.schema([("g", pa.int32()), ("rows", pa.binary()), ("logs", pa.binary()), ("known", pa.binary())])
-_PARTS = pa.schema([("k", pa.int64()), ("rare_logs", pa.float64()), ("rare_known", pa.int64())])
+_TOLD = pa.schema([("g", pa.int32()), ("rows", pa.binary()), ("logs", pa.binary()), ("known", pa.binary()), ("once", pa.binary())])
+_PARTS = pa.schema([("k", pa.int64()), ("rare_logs", pa.float64()), ("rare_known", pa.int64()), ("rare_once", pa.int64())])
 _SCORED = pa.schema(
-    [("doc_id", pa.int64()), ("k", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("h", pa.binary()), ("n", pa.binary())]
+    [("doc_id", pa.int64()), ("k", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("once", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("h", pa.binary()), ("n", pa.binary())]
 )
 
 
-def _row_sums(rows: np.ndarray, logs: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _row_sums(rows: np.ndarray, logs: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
     names, at = np.unique(rows, return_inverse=True)
-    return names, np.bincount(at, logs, len(names)), np.bincount(at, known, len(names)).astype(np.int64)
+    return names, np.bincount(at, logs, len(names)), *(np.bincount(at, x, len(names)).astype(np.int64) for x in numbers)
 
 
 def _rare_parts(scored: DataFrame, rare: DataFrame) -> DataFrame:
-    """(k, rare_logs, rare_known): over each row's words that tasks don't know, by hash ranges."""
+    """(k, rare_logs, rare_known, rare_once): over each row's words that tasks don't know, by hash ranges."""
     ranges = partitions(scored.sparkSession)
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,15 +490,15 @@ def _rare_parts(scored: DataFrame, rare: DataFrame) -> DataFrame:
             found = np.append(words, np.uint64(0))[place] == h if len(words) else np.zeros(len(h), bool)
             n = np.where(found & (place < len(words)), np.append(counts, 0)[place], 0)
             owner = np.concatenate(rows)[np.concatenate(at)]
-            names, logs, known = _row_sums(owner, tf * np.log10(n + ALPHA), tf * (n > 0))
-            g = (mix(names.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+            sums = _row_sums(owner, tf * np.log10(n + ALPHA), tf * (n > 0), tf * (n == 1))
+            g = (mix(sums[0].view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
             order = np.argsort(g, kind="stable")
-            names, logs, known = names[order], logs[order], known[order]
-            told = [(bucket, names[a:b].tobytes(), logs[a:b].tobytes(), known[a:b].tobytes()) for bucket, a, b in _cuts(g[order])]
+            sums = [x[order] for x in sums]
+            told = [(bucket, *(x[a:b].tobytes() for x in sums)) for bucket, a, b in _cuts(g[order])]
         return pa.Table.from_batches([batch_of(_TOLD, *(zip(*told, strict=True) if told else ([] for _ in _TOLD)))], _TOLD)
 
     def gather(table: pa.Table) -> pa.Table:
-        parts = _row_sums(_read(table, "rows", np.int64), _read(table, "logs", np.float64), _read(table, "known", np.int64))
+        parts = _row_sums(_read(table, "rows", np.int64), _read(table, "logs", np.float64), _read(table, "known", np.int64), _read(table, "once", np.int64))
         return pa.Table.from_batches([batch_of(_PARTS, *parts)], _PARTS)
 
     asked = scored.where(F.length("h") > 0).select("k", "h", "n").mapInArrow(forward, spark_schema(_ENTRIES))
@@ -506,10 +506,12 @@ def _rare_parts(scored: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame, mod: int = 10, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token, n_once) of every row of ``docs``.
 
     Counts come from all documents whose id's remainder isn't 0. ``base_score`` is the unigram sum
-    with add-0.1 smoothing, ``score`` the model's log10 probability of the whole text. A null or
+    with add-0.1 smoothing, ``score`` the model's log10 probability of the whole text; ``n_once``
+    counts the tokens whose word the training documents have a single time: a training document
+    without any has all its words elsewhere too, or more than once itself. A null or
     empty text is its end alone; repeated rows count and are scored again; an empty table gives
     no rows; other columns are ignored. ``frequent`` bounds the words that tasks know by
     themselves; the others are looked up by a shuffle, with the same result.
@@ -545,9 +547,9 @@ def lm_scores(docs: DataFrame, mod: int = 10, frequent: int = FREQUENT) -> DataF
         def flush() -> pa.RecordBatch:
             c, count = np.concatenate(streams), np.concatenate([d[1] for d in done])
             model = class_log_likelihood(net, c, np.repeat(np.arange(len(count)), count), len(count), prior)
-            doc, n_tokens, n_known, log, within = (np.concatenate([d[i] for d in done]) for i in range(5))
-            h, n = ([x for d in done for x in d[i]] for i in (5, 6))
-            return batch_of(_SCORED, doc, np.arange(k, k + len(doc)), n_tokens, n_known, log, model / np.log(10) - within, h, n)
+            doc, n_tokens, n_known, once, log, within = (np.concatenate([d[i] for d in done]) for i in range(6))
+            h, n = ([x for d in done for x in d[i]] for i in (6, 7))
+            return batch_of(_SCORED, doc, np.arange(k, k + len(doc)), n_tokens, n_known, once, log, model / np.log(10) - within, h, n)
 
         for batch in slices(batches):
             h, c, row = tokens(*text_bytes(batch.column("text")))
@@ -567,6 +569,7 @@ def lm_scores(docs: DataFrame, mod: int = 10, frequent: int = FREQUENT) -> DataF
                     batch.column("doc_id").to_numpy(),
                     np.bincount(row, minlength=size),
                     np.bincount(owner[mine], minlength=size),
+                    np.bincount(owner[mine & (counts[place] == 1)], minlength=size),
                     np.bincount(owner[mine], logs[place[mine]], size),
                     np.bincount(row, inside[c], size),
                     [h2[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)],
@@ -593,4 +596,6 @@ def lm_scores(docs: DataFrame, mod: int = 10, frequent: int = FREQUENT) -> DataF
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (every - F.col("n_tokens") * F.lit(float(np.log10(total + ALPHA * (distinct + 1))))).alias("base_score"),
         (F.col("model") + every).alias("score"),
+        ((F.col("model") + every) / F.col("n_tokens")).alias("score_per_token"),
+        (F.col("once") + F.coalesce("rare_once", F.lit(0))).alias("n_once"),
     )

@@ -229,11 +229,14 @@ def test_lm_scores(spark):
     base = lambda ts: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts)
     expected = sorted((repr(i), h, len(ts), sum(counts[w] > 0 for w in ts), n, round(base(ts), 4)) for (i, _), h, ts in zip(rows, held, tokens, strict=True))
     assert sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == expected
+    once = sorted((repr(i), sum(counts[w] == 1 for w in ts)) for (i, _), ts in zip(rows, tokens, strict=True))
+    assert sorted((repr(r.doc_id), r.n_once) for r in got) == once and all(abs(r.score_per_token * r.n_tokens - r.score) < 1e-6 * abs(r.score) + 1e-9 for r in got)
     prose = [r for r in got if r.doc_id is not None and r.held_out and r.doc_id >= 8]
     assert prose and sum(r.score for r in prose) > sum(r.base_score for r in prose)
     # Whatever tasks know by themselves, all words or none or some, the sums are the same.
     for known in (0, 3):
         again = lm_score.lm_scores(docs(spark, rows), frequent=known).collect()
+        assert sorted((repr(r.doc_id), r.n_once) for r in again) == once
         assert sorted((repr(r.doc_id), r.n_known, round(r.base_score, 4)) for r in again) == sorted((repr(r.doc_id), r.n_known, round(r.base_score, 4)) for r in got)
     assert lm_score.lm_scores(docs(spark, [])).count() == 0
 
