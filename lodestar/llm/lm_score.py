@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import LOWER, batch_of, documents, id_back, id_remainder, materialize, mix, partitions, slices, span_hashes, spark_schema, text_bytes, tune, word_spans
 
-CLASSES = 64
+CLASSES = 128
 HIDDEN = 24
 #: The end of a document: a token of its own, in the last class.
 END = np.uint64(0x454E44)
