@@ -26,6 +26,8 @@ RATE = 0.08
 #: Passages below are matched without edits; of these, one of fewer words condemns no document.
 MIN_CHARS, MIN_WORDS = 25, 3
 WINDOW = 512
+#: Bytes of normalised text that are matched at once; longer texts go in overlapping stretches.
+_STRETCH = 2_000_000
 #: Items that one pass over the documents looks for, and so what a task holds.
 BLOCK_ITEMS = 20_000
 _FILTER_BITS = 22
@@ -42,8 +44,8 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     space = IS_SPACE[data]
     keep = np.ones(len(data), bool)
     keep[1:] = ~(space[1:] & space[:-1])
-    moved = np.r_[0, np.cumsum(keep)]
-    return np.where(space, np.uint8(32), data)[keep], moved[offsets]
+    sizes = np.add.reduceat(keep, offsets[:-1], dtype=np.int64) if texts else np.zeros(0, np.int64)
+    return np.where(space, np.uint8(32), data)[keep], np.r_[0, np.cumsum(sizes)]
 
 
 def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
@@ -97,6 +99,7 @@ class Matcher:
     """Looks for all passages of a block of items in batches of texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
+        self.min_chars = min_chars
         self.passages: list[np.ndarray] = []
         self.item: list[int] = []
         short: dict[bytes, list[int]] = {}
@@ -165,16 +168,38 @@ class Matcher:
                     yield from (Hit(row, item, 0, start, start + n) for item in passages[k][1])
 
     def match(self, texts: list[str]) -> list[Hit]:
-        """The best hit of each text and passage: fewest edits, then the first."""
+        """The best hit of each text and item: fewest edits, then the first."""
         data, offsets = normalise(texts)
         best: dict[tuple[int, int], Hit] = {}
-        for hit in self._short_hits(data, offsets):
+
+        def add(hit: Hit) -> None:
             old = best.get((hit.row, hit.item))
-            if old is None or hit.end < old.end:
+            if old is None or (hit.edits, hit.end) < (old.edits, old.end):
                 best[hit.row, hit.item] = hit
+
+        if len(data) <= 2 * _STRETCH:
+            for hit in self._hits(data, offsets):
+                add(hit)
+        else:
+            # Whatever begins in a stretch lies whole in it, with the overlap.
+            overlap = 64 + max([int(b) * 4 + len(p) for p, b in zip(self.passages, self.budget, strict=True)] + [MIN_CHARS])
+            for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                for start in range(a, b, _STRETCH):
+                    stop = min(b, start + _STRETCH + overlap)
+                    part = data[start:stop] if stop == b else np.r_[data[start:stop], np.uint8(0)]
+                    for hit in self._hits(part, np.array([0, len(part)])):
+                        # A word that the cut made isn't one; the neighbour has what stands there.
+                        cut = (hit.start == 0 and start > a) or (hit.end == len(part) - 1 and stop < b)
+                        if not (cut and hit.end - hit.start < self.min_chars):
+                            add(Hit(row, hit.item, hit.edits, hit.start + start - a, hit.end + start - a))
+        return sorted(best.values(), key=lambda h: (h.row, h.item))
+
+    def _hits(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Hit]:
+        """Hits in normalised texts, those that begin the earliest among them."""
+        yield from self._short_hits(data, offsets)
         at, passage, place = self._shared(data)
         if not len(at):
-            return sorted(best.values(), key=lambda h: (h.row, h.item))
+            return
         # Bands of diagonals: each is 2k+2 wide and overlaps its neighbour by half, so any k+1
         # neighbouring diagonals lie in one of them.
         width = self.budget[passage] + 1
@@ -189,13 +214,14 @@ class Matcher:
         counts = np.add.reduceat(new_gram.astype(np.int64), begin)
         keys = key[begin]
         good = counts >= self.need[keys >> 40]
+        n_rows = len(offsets) - 1
         for k in keys[good].tolist():
             p, b = k >> 40, k & ((1 << 40) - 1)
             budget, passage_ = int(self.budget[p]), self.passages[p]
             low = b * (budget + 1) - WINDOW * 4 - budget
             high = low + 2 * (budget + 1) + len(passage_) + 2 * budget
             row = int(np.searchsorted(offsets, min(max(low + (high - low) // 2, 0), len(data) - 1), side="right")) - 1
-            for r in range(max(0, row - 1), min(len(texts), row + 2)):
+            for r in range(max(0, row - 1), min(n_rows, row + 2)):
                 a, z = max(low, int(offsets[r])), min(high, int(offsets[r + 1]) - 1)
                 if z - a < len(passage_) - budget:
                     continue
@@ -204,11 +230,7 @@ class Matcher:
                 found = (0, exact + len(passage_)) if exact >= 0 else align(passage_, region, budget) if budget else None
                 if found:
                     end = a + found[1] - int(offsets[r])
-                    hit = Hit(r, self.item[p], found[0], max(0, end - len(passage_)), end)
-                    old = best.get((r, hit.item))
-                    if old is None or (hit.edits, hit.end) < (old.edits, old.end):
-                        best[r, hit.item] = hit
-        return sorted(best.values(), key=lambda h: (h.row, h.item))
+                    yield Hit(r, self.item[p], found[0], max(0, end - len(passage_)), end)
 
 
 def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:

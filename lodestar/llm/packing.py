@@ -33,6 +33,9 @@ STRETCH = 1 << 18
 #: Words an encoder remembers; it forgets them all when there are more.
 _CACHE = 2_000_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
+#: Characters that the library gets at once, about, and places where a text may be cut: before a space between letters.
+_LONG = 50_000
+_SAFE = re.compile(r"[A-Za-z] [A-Za-z]")
 
 
 class Encoder:
@@ -40,8 +43,9 @@ class Encoder:
 
     The file's pattern always ends a piece before a space between two characters that are no
     white space, so what lies between such places is encoded by itself and remembered by its
-    64-bit hash: texts repeat their words. A text with a special token's string, or with white
-    space other than single spaces and line breaks, goes to the library whole.
+    64-bit hash: texts repeat their words. A text where white space meets white space is encoded
+    whole, by ranks; one with other white space than spaces and line breaks, or with a special
+    token's string, by the library, a long one in stretches that end before such a space.
     """
 
     def __init__(self, path: str):
@@ -63,7 +67,14 @@ class Encoder:
         self.hashes, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self.quick and not _ODD_SPACE.search(text) and not any(s in text for s in self.special):
+            return self.quick.encode_to_numpy(text, disallowed_special=())
+        cuts, parts = [0], []
+        while len(text) - cuts[-1] > 2 * _LONG and (m := _SAFE.search(text, cuts[-1] + _LONG)):
+            cuts.append(m.start() + 1)
+        for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+            parts.append(np.array(self.library.encode(text[a:b], add_special_tokens=False).ids, np.uint32))
+        return np.concatenate(parts)
 
     def _spaced_words(self, blob: str, n: int) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of ``n`` words end to end and how many each has: every word begins with the only space it has."""

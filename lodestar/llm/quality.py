@@ -48,9 +48,11 @@ _PLAIN_END[[ord(c) for c in ".,;:?'\")"]] = True
 
 
 def _segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(values) + 1, np.float64)
-    np.cumsum(values, out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    """How many of each row's values are true."""
+    made, some = np.zeros(len(offsets) - 1), np.flatnonzero(np.diff(offsets))
+    if len(some):
+        made[some] = np.add.reduceat(values, offsets[some], dtype=np.int64)
+    return made
 
 
 def _distinct(rows: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mean = np.bincount(rows, length, n) / some
     spread = np.sqrt(np.maximum(np.bincount(rows, length**2, n) / some - mean**2, 0))
     if len(starts):
-        sums = np.zeros(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.int32)
         np.cumsum((kind == _UPPER) | (kind == _LOWERCASE) | (kind == _DIGIT) | (kind == _WIDE), out=sums[1:])
         letters = sums[ends] - sums[starts]
         np.cumsum(kind == _LOWERCASE, out=sums[1:])

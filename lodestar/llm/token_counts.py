@@ -4,10 +4,12 @@ A text up to ``chunk`` characters is encoded at once. A longer one is encoded in
 overlap; two neighbours are spliced at a place where both have a token boundary and that is
 proven stable, and the overlap is doubled while there is none.
 
-Why a place is stable: the model writes white space as U+2581 and no piece of it has that
-character behind another one (``stable_model`` checks the whole vocabulary, once a worker).
-So no merge ever crosses a place between an ordinary character and a following space, and the
-tokens on either side are the same whatever stands on the other.
+Why a place is stable: a token that crosses it would be a piece with the two characters beside
+the place next to each other. ``stable_model`` gathers all such pairs of the vocabulary, once a
+worker; no piece has U+2581, as which the model writes a space, behind another character. So the
+tokens on either side of a space, or of another pair that no piece has, are the same whatever
+stands on the other. (Without pieces for bytes, unknown neighbours become one token, and spaces
+are the only such places.)
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ def stable_model(path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         if any(MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.get_piece_size())):
             raise ValueError("a piece of this model crosses from a word into a space: no place is stable")
+        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not sp.is_byte(i)]
+        # Pairs of characters that some piece has side by side; None: only spaces are told.
+        sp.joined = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)} if len(pieces) < sp.get_piece_size() else None
         _models[path] = sp
     return _models[path]
 
@@ -41,14 +46,28 @@ def _ends(sp, raw: bytes, first: bool) -> list[int]:
     """Where the tokens of ``raw`` end, in bytes of ``raw``.
 
     The model puts a space before what it encodes. Inside a document there is none, so a later
-    chunk starts with a space of its own, which is taken off before encoding.
+    chunk that starts with a space has it taken off before encoding; of one that starts with
+    another character, which no piece has behind a space, the space's token is left out.
     """
-    shift = 0 if first else 1
-    return [p.end + shift for p in sp.encode(raw[shift:].decode(), num_threads=1, return_type="proto").pieces]
-
-
-def _stable(raw: bytes, at: int) -> bool:
-    return 0 < at < len(raw) and raw[at] == 32 and raw[at - 1] != 32 and raw[max(0, at - 3) : at] != _MARK
+    spaced = not first and raw[:1] == b" "
+    shift = 1 if spaced else 0
+    ends = [p.end + shift for p in sp.encode(raw[shift:].decode(), num_threads=1, return_type="proto").pieces]
+    return ends if first or spaced else ends[1:]
+
+
+def _stable(sp, raw: bytes, at: int) -> bool:
+    """Whether a chunk may begin at this place and what stands before it end there."""
+    if not 0 < at < len(raw) or raw[at] & 0xC0 == 0x80:
+        return False
+    if raw[at] == 32:
+        return raw[at - 1] != 32 and raw[max(0, at - 3) : at] != _MARK
+    if sp.joined is None or raw[at - 1] == 32:
+        return False
+    begin = at - 1
+    while raw[begin] & 0xC0 == 0x80:
+        begin -= 1
+    before, after = raw[begin:at].decode(), raw[at : at + 4].decode(errors="ignore")[:1]
+    return MARK not in (before, after) and before + after not in sp.joined and MARK + after not in sp.joined
 
 
 def _whole(raw: bytes, at: int) -> int:
@@ -70,12 +89,12 @@ def count_tokens(sp, text: str, chunk: int = 32_768, overlap: int = 256) -> int:
         while splice is None and width < 2 * (stop - start):
             # The next chunk begins at a stable place of the overlap; both then have a boundary
             # at a later one, or the overlap is widened.
-            begin = next((i for i in range(max(start + 1, stop - width), stop) if _stable(raw, i)), None)
+            begin = next((i for i in range(max(start + 1, stop - width), stop) if _stable(sp, raw, i)), None)
             if begin is not None:
                 after = _whole(raw, begin + chunk)
                 more = [begin + e for e in _ends(sp, raw[begin:after], False)] if after > stop else []
                 common = {start + e for e in ends} & {begin, *more}
-                splice = max((e for e in common if e <= stop and _stable(raw, e)), default=None) if more else None
+                splice = max((e for e in common if e <= stop and _stable(sp, raw, e)), default=None) if more else None
             width *= 2
         if splice is None:
             # No stable place in all of it: the chunk itself grows.

@@ -171,8 +171,26 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
+#: Bytes whose words are looked up at once, about.
+_STRETCH = 2_000_000
+
+
 def find_terms(machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, start, end, term, distance) of the words of lower-case texts that the automaton accepts."""
+    cuts = [0]
+    while len(data) - cuts[-1] > 2 * _STRETCH:
+        # A long text is cut where a word ends, or, in a very long word, goes on whole.
+        free = np.flatnonzero(~_IN_WORD[data[cuts[-1] + _STRETCH : cuts[-1] + 2 * _STRETCH]])
+        cuts.append(cuts[-1] + _STRETCH + int(free[0]) if len(free) else len(data))
+    parts = []
+    for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True):
+        inner = offsets[(offsets > a) & (offsets < b)]
+        _, start, end, term, distance = _terms_of(machine, data[a:b], np.r_[0, inner - a, b - a])
+        parts.append((np.searchsorted(offsets, start + a, side="right") - 1, start + a, end + a, term, distance))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _terms_of(machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if not len(data):
         return none, none, none, none, none

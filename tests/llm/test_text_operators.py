@@ -34,6 +34,11 @@ def test_token_counts_splice(sp):
     for _ in range(25):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 200)))
         assert all(token_counts.count_tokens(sp, text, c, o) == len(sp.encode(text)) for c, o in ((50, 4), (200, 16)))
+    # Without spaces, pairs of characters that no piece has side by side are as good.
+    parts = ["a", "the", "ing", "\n", "é", "世", "界", "9", "Q", "xq", "\u3000", "\U0001f600"]
+    for _ in range(25):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 200)))
+        assert all(token_counts.count_tokens(sp, text, c, o) == len(sp.encode(text)) for c, o in ((40, 4), (150, 16)))
 
 
 def test_token_counts_rows(spark, sp):
@@ -207,6 +212,15 @@ def test_automaton_by_code_points_and_with_edited_stems():
     assert got[words.index("loser")] == (0, "loser") and got[words.index("looser")] == (1, "loser") and got[words.index("cretin")] == (1, "crétin")
 
 
+def test_terms_of_long_texts(monkeypatch):
+    rnd = random.Random(3)
+    machine = toxicity.compile_lexicon(toxicity.Lexicon({"clown": 5, "moron": 5}, {"lowei": 4}), fuzzy_stems=True)
+    texts = ["".join(rnd.choice(["clown", "moron", "loweish", "mron", "é", " ", " ", ".", "x"]) for _ in range(rnd.randint(0, 60))) for _ in range(50)]
+    whole = [x.tolist() for x in toxicity.find_terms(machine, *text_bytes(pa.array(texts)))]
+    monkeypatch.setattr(toxicity, "_STRETCH", 40)
+    assert [x.tolist() for x in toxicity.find_terms(machine, *text_bytes(pa.array(texts)))] == whole and len(whole[0]) > 50
+
+
 def test_cover_against_the_greedy_rule():
     rnd = random.Random(8)
     for _ in range(50):
@@ -267,6 +281,15 @@ def test_packing_ids(encoder):
         assert encoder.encode([t])[0].tolist() == encoder.library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_packing_ids_of_long_odd_texts(encoder, monkeypatch):
+    monkeypatch.setattr(packing, "_LONG", 30)
+    rnd = random.Random(2)
+    parts = ["a", "the", " ", "  ", "\t", " \n", "é", "<|endoftext|>", "'s", "12", "!!", " b c", "\xa0"]
+    for _ in range(200):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 300)))
+        assert encoder.encode([t])[0].tolist() == encoder.library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_cuts_are_the_cheapest():
     rnd = random.Random(1)
     cost = lambda n: packing.WINDOW + (0 if n & (n - 1) == 0 else 16 - n)
@@ -335,6 +358,19 @@ def test_decontamination_rows(spark):
     assert decontam.contaminated(docs(spark, []), bench).count() == 0 and decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_long_texts_are_matched_in_stretches(monkeypatch):
+    rnd = random.Random(6)
+    items = [(1, ITEMS[0]), (2, ITEMS[1]), (3, "big dog"), (4, "gs sto")]
+    word = lambda: rnd.choice(["stones", "big", "dogs", "dog", "the", "cat", *ITEMS[0].split()])
+    texts = []
+    for _ in range(40):
+        parts = [" ".join(word() for _ in range(rnd.randint(0, 120))) for _ in range(3)]
+        texts.append(f"{parts[0]} {rnd.choice([*ITEMS, '', ITEMS[0].replace('fox', 'f0x'), ITEMS[1][:50]])} {parts[1]}, big dog {parts[2]}")
+    whole = [(h.row, h.item, h.edits, h.end) for h in decontam.Matcher(items).match(texts)]
+    monkeypatch.setattr(decontam, "_STRETCH", 150)
+    assert [(h.row, h.item, h.edits, h.end) for h in decontam.Matcher(items).match(texts)] == whole and {x[1] for x in whole} == {1, 2, 3}
+
+
 def test_short_benchmark_items(spark):
     bench = spark.createDataFrame([(1, "short"), (2, "Big red dog"), (None, "is it so?"), (3, " "), (4, "big red dog")], "item_id long, text string")
     rows = [(1, "a short one"), (2, "shorter, a big reddog"), (3, "My BIG  red\tdog, then a big red dog"), (4, "say is it so? yes"), (5, "is it sorry?"), (6, "big red dogs"), (7, "short"), (8, None)]
