@@ -23,6 +23,8 @@ from lodestar.llm.common import batch_of, documents, id_back, spark_schema, tune
 
 WIDTH, FRAME_ROWS = 192, 341
 _MOST = 4096
+#: Bytes of images that are handed on together, about.
+_BATCH_BYTES = 1_000_000
 
 
 def _widths(first: int, count: int, least: int) -> np.ndarray:
@@ -272,8 +274,15 @@ def text_gifs(docs: DataFrame) -> DataFrame:
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                yield batch_of(_GIFS, [doc], [len(text.encode())], [encode_gif(payload(text))])
+                rows.append((doc, len(text.encode()), encode_gif(payload(text))))
+                held += len(rows[-1][2])
+                if held > _BATCH_BYTES:
+                    yield batch_of(_GIFS, *zip(*rows, strict=True))
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(_GIFS, *zip(*rows, strict=True))
 
     return documents(docs).mapInArrow(store, spark_schema(_GIFS))
 
