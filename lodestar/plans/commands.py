@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import logging
 import os
+import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import atoi, check_text
@@ -93,7 +94,11 @@ def split_stream(data: str) -> tuple[list[str], str]:
 
 @dataclass
 class Engine:
-    """A store under a folder that all executors reach; ``execute`` takes one command line."""
+    """A store under a folder that all executors reach; ``execute`` takes one command line.
+
+    With ``autosave`` a command that finds unsaved writes saves them, if the last save is
+    ``settings.save_interval`` seconds back (0: never).
+    """
 
     spark: SparkSession
     root: str
@@ -105,6 +110,8 @@ class Engine:
     closed: bool = False
     dirty: bool = False
     saved: tuple[str, int] | None = None
+    autosave: bool = False
+    saved_at: float = field(default_factory=time.monotonic)
 
     def __post_init__(self) -> None:
         if self.embedder and self.embedder.dim != self.settings.dim:
@@ -157,6 +164,18 @@ class Engine:
 
     def execute(self, line: str) -> str | DataFrame:
         """The reply: a status line or a table. Raises CommandError where the reply is an error."""
+        reply = self._execute(line)
+        if self.autosave and self.dirty and 0 < self.settings.save_interval <= time.monotonic() - self.saved_at:
+            self.save()
+        return reply
+
+    def save(self) -> None:
+        """Append what is pending and write the nodes as a new snapshot."""
+        self.flush()
+        self.saved = save_snapshot(self.nodes(), self._snapshots, self.seq), self.seq
+        self.dirty, self.saved_at = False, time.monotonic()
+
+    def _execute(self, line: str) -> str | DataFrame:
         c = parse(line, self.settings.dim)
         if c.name == "PING":
             return "+PONG"
@@ -188,9 +207,7 @@ class Engine:
             now = {"version": VERSION, "pid": os.getpid(), "path": self.root, "model": type(self.embedder).__name__ if self.embedder else "none", "dirty": int(self.dirty)}
             return store.info(self.nodes(), {**now, **{k: v for k, v in self.settings.as_dict().items() if k != "dim"}})
         if c.name == "SAVE":
-            self.flush()
-            self.saved = save_snapshot(self.nodes(), self._snapshots, self.seq), self.seq
-            self.dirty = False
+            self.save()
             return "+OK"
         self._append(store.FLUSH)
         return "+OK"
@@ -215,11 +232,13 @@ class Engine:
         self.flush()
         rows = import_lines(self.spark, path).where(is_valid("text", self.settings.max_text_length))
         placed = rows.withColumn("at", F.monotonically_increasing_id()).select((F.lit(self.seq + 1) + F.col("at")).alias("seq"), F.lit(store.SET).alias("op"), "id", embed_column("text", self.embedder).alias("embedding"))
-        before = self.log().count()
-        placed.write.mode("append").parquet(f"{self.root}/log")
-        after = self.log().agg(F.count("*"), F.max("seq")).first()
-        self.seq, self.dirty = after[1] if after[1] is not None else self.seq, True
-        return after[0] - before
+        # Counted while they are written: the log isn't read again.
+        seen = Observation()
+        placed.observe(seen, F.count("*").alias("n"), F.max("seq").alias("last")).write.mode("append").parquet(f"{self.root}/log")
+        n, last = seen.get["n"], seen.get["last"]
+        if n:
+            self.seq, self.dirty = last, True
+        return n
 
     def restore(self) -> DataFrame | None:
         """The nodes of the last SAVE."""

@@ -293,6 +293,22 @@ def test_engine(spark, tmp_path):
     assert again.execute("QUIT") == "+OK bye" and again.closed
 
 
+def test_autosave(spark, tmp_path, monkeypatch):
+    from lodestar.plans import commands
+
+    now = [100.0]
+    monkeypatch.setattr(commands.time, "monotonic", lambda: now[0])
+    e = Engine(spark, str(tmp_path / "db"), Settings(dim=2, save_interval=15), autosave=True, saved_at=now[0])
+    assert e.run(["VSET a [1,0]", "PING"]) == ["+OK", "+PONG"] and e.dirty and e.restore() is None
+    now[0] += 15
+    assert e.execute("VSET b [0,1]") == "+OK" and not e.dirty and e.restore().count() == 2
+    now[0] += 15
+    version = e.saved
+    assert e.execute("PING") == "+PONG" and e.saved == version  # nothing to save
+    e.settings.save_interval = 0
+    assert e.execute("DEL a") == "+OK" and e.dirty
+
+
 def test_text_engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"), Settings(dim=64), HashedNgrams(64))
     texts = {"ai": "neural networks learn from data", "rome": "the roman empire and its legions", "plants": "plants get energy from sunlight"}
