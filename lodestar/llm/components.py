@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import batch_of, materialize, spark_schema
+from lodestar.llm.common import batch_of, materialize, release, spark_schema
 
 #: Edges that one task contracts at once: two numbers each, a few dozen MB with what it takes to do so.
 BLOCK = 1_000_000
@@ -74,8 +74,10 @@ def components(edges: DataFrame, most: int = 60, block: int = BLOCK) -> DataFram
         n = e.count()
         if n <= block:
             stars = materialize(e.coalesce(1).mapInArrow(_contract, spark_schema(_EDGES)), "stars")
+            release(e)
             break
-        e = materialize(_star_round(e.mapInArrow(_contract, spark_schema(_EDGES))), "edges")
+        old, e = e, materialize(_star_round(e.mapInArrow(_contract, spark_schema(_EDGES))), "edges")
+        release(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             stars = e

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import NULL_ID, batch_of, documents, id_back, materialize, partitions, spark_schema, tune
+from lodestar.llm.common import NULL_ID, batch_of, documents, id_back, materialize, partitions, release, spark_schema, tune
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("n_lines", pa.int64()), ("at", pa.binary())])
@@ -127,6 +127,7 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     by = ["h", "h2", F.desc("doc_id")]
     sorted_ = rows.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
     runs = materialize(sorted_.mapInArrow(_stream(min_docs), spark_schema(_RUNS)), "line-runs")
+    release(rows)
     # At most two summaries for each partition: small however large the corpus.
     settled = runs.where(F.col("kind") == _SUMMARY).groupBy("h", "h2").agg(F.sum("n_docs").alias("docs"), F.max("doc_id").alias("kept")).where(F.col("docs") >= min_docs)
     opened = runs.where(F.col("kind") == _OPEN).join(F.broadcast(settled), ["h", "h2"]).where(F.col("doc_id") != F.col("kept"))

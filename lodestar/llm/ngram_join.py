@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import LOWER, NULL_ID, batch_of, documents, id_back, materialize, mix, partitions, slices, span_hashes, spark_schema, text_bytes, tune, word_spans
+from lodestar.llm.common import LOWER, NULL_ID, batch_of, documents, id_back, materialize, mix, partitions, release, slices, span_hashes, spark_schema, text_bytes, tune, word_spans
 from lodestar.llm.components import components
 
 WORDS = 5
@@ -325,10 +325,11 @@ def _links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Verified links (a forest of them) within the candidate groups (rep, cc)."""
     spark = sets.sparkSession
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
-    placed = materialize(groups.join(sets.select("rep", "n"), "rep").select("rep", "n", "cc", band.alias("band")), "placed")
-    sums = placed.groupBy("cc").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
+    banded = materialize(groups.join(sets.select("rep", "n"), "rep").select("rep", "n", "cc", band.alias("band")), "placed")
+    sums = banded.groupBy("cc").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
     sums = sums.select("cc", ((F.col("docs") > TILE) | (F.col("weight") > TILE_SHINGLES)).alias("large"))
-    placed = materialize(placed.join(sums, "cc"), "placed")
+    placed = materialize(banded.join(sums, "cc"), "placed")
+    release(banded)
     out = ["rep", "cc", "label", "side", "set"]
     bodies = sets.select("rep", "set")
     small = placed.where("NOT large").select("rep", "cc", F.pmod(F.xxhash64("cc"), F.lit(4 * partitions(spark))).alias("g"))
@@ -396,7 +397,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = 75) -
     least = prefix.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("owners")).where("owners > 1").select("h", "a")
     pairs = prefix.join(least, "h").where("rep <> a").select(F.col("rep").alias("a"), F.col("a").alias("b")).distinct()
     groups = materialize(components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("cc")), "groups")
+    release(prefix)
     links = materialize(_links(sets, groups, percent), "links")
+    release(groups)
     number = sets.select("rep", "doc")
     linked = links.join(number.select(F.col("rep").alias("a"), F.col("doc").alias("x")), "a").join(number.select(F.col("rep").alias("b"), F.col("doc").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     copies = known.join(classes.select("p1", "p2", "n", "rep"), ["p1", "p2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
