@@ -18,6 +18,10 @@ QUERY_BLOCK = 4096
 SMALL_BASE = 8_000_000
 #: Distances held at once.
 _CELLS = 4_000_000
+#: So many values about a place of the sorted order are fetched and sorted; more are narrowed first.
+_FETCHED = 100_000
+#: A sketch's value lies off its place by a share of one in so many.
+_SKETCH = 10_000
 
 
 def nearest(base: DataFrame, vector: list[float], k: int, metric: str = "cosine", threshold: float | None = THRESHOLD, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -159,26 +163,55 @@ def percentile_row(rows: DataFrame, value: str, share: float) -> DataFrame:
 
 
 def nth_values(rows: DataFrame, value: str, places: dict[float, int]) -> DataFrame:
-    """The values at given places of the sorted order.
+    """The values at given places of the sorted order, NaN last; places outside it have no row.
 
-    Values are range-partitioned and sorted where they lie; the partitions' sizes (one number
-    each) tell which holds a place, so no task sees all rows.
+    No place is told from how rows lie in partitions, as that changes whenever a plan runs again.
+    A sketch gives two values about a place; exact counts of what is less and what is no more than
+    each tell where the place lies, and so on inside, until few values are left to sort. A
+    round excludes its two values, so it ends for any rows and any number of equal ones. Nothing is
+    shuffled but a sketch and a row of counts for each partition.
     """
-    spark = rows.sparkSession
-    sorted_ = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").repartitionByRange("v").sortWithinPartitions("v")
-    tagged = sorted_.select("v", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"))
-    sizes = sorted((r.p, r.n) for r in tagged.groupBy("p").agg(F.count("*").alias("n")).collect())
-    starts, total = {}, 0
-    for p, n in sizes:
-        starts[p] = total
-        total += n
-    wanted = []
-    for share, place in places.items():
-        for p, n in sizes:
-            if starts[p] <= place < starts[p] + n:
-                wanted.append((float(share), p, place - starts[p]))
-    want = spark.createDataFrame(wanted, "share double, p int, at long")
-    return tagged.join(F.broadcast(want), ["p", "at"]).select("share", F.col("v").alias("value"))
+    known = rows.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    numbers = known.where(~F.isnan("v"))
+    size = known.agg(F.count("*").alias("all"), F.count_if(~F.isnan("v")).alias("numbers")).first()
+    found = {share: float("nan") for share, place in places.items() if size["numbers"] <= place < size["all"]}
+    # Each other place lies between two values, themselves excluded: how many are no more than the lower one, how many less than the upper one.
+    between = {share: (None, None, 0, size["numbers"]) for share, place in places.items() if 0 <= place < size["numbers"]}
+    while wide := {share: x for share, x in between.items() if x[3] - x[2] > _FETCHED}:
+        sketches = []
+        for share, (low, high, below, end) in wide.items():
+            at = (places[share] - below) / (end - below)
+            sketches.append(F.percentile_approx(F.when(_inside("v", low, high), F.col("v")), [max(0.0, at - 2 / _SKETCH), min(1.0, at + 2 / _SKETCH)], _SKETCH))
+        pivots = dict(zip(wide, numbers.agg(*[x.alias(f"s{n}") for n, x in enumerate(sketches)]).first()))
+        tried = sorted({x for pair in pivots.values() for x in pair})
+        counts = numbers.agg(*[F.count_if(c).alias(f"{name}{n}") for n, x in enumerate(tried) for name, c in (("less", F.col("v") < x), ("upto", F.col("v") <= x))]).first()
+        for share, (low, high, below, end) in wide.items():
+            for x in pivots[share]:
+                n = tried.index(x)
+                if places[share] < counts[f"less{n}"]:
+                    high, end = x, counts[f"less{n}"]
+                    break
+                if places[share] < counts[f"upto{n}"]:
+                    found[share] = x
+                    break
+                low, below = x, counts[f"upto{n}"]
+            between[share] = (low, high, below, end)
+        between = {share: x for share, x in between.items() if share not in found}
+    if between:
+        near = F.lit(False)
+        for low, high, *_ in between.values():
+            near = near | _inside("v", low, high)
+        values = np.sort(numbers.where(near).toArrow().column(0).to_numpy())
+        for share, (low, _, below, _) in between.items():
+            start = 0 if low is None else int(np.searchsorted(values, low, "right"))
+            found[share] = float(values[start + places[share] - below])
+    return rows.sparkSession.createDataFrame([(float(share), found[share]) for share in places if share in found], "share double, value double")
+
+
+def _inside(c: str, low: float | None, high: float | None) -> Column:
+    """Whether a value lies between two others, themselves excluded; None: no bound."""
+    above = F.lit(True) if low is None else F.col(c) > low
+    return above if high is None else above & (F.col(c) < high)
 
 
 def retrieval_accuracy(found: DataFrame, expected: DataFrame) -> DataFrame:

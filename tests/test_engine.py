@@ -80,6 +80,21 @@ def test_percentiles_and_recall(spark):
     assert search.recall(exact, exact.limit(1)).first().recall == 0.5
 
 
+@pytest.mark.parametrize("fetched", [5, 100_000])
+def test_places_do_not_depend_on_partitions(spark, monkeypatch, fetched):
+    """Range bounds are sampled anew each time a plan runs; a place told from one run's partitions is another value in the next."""
+    monkeypatch.setattr(search, "_FETCHED", fetched, raising=False)
+    n = 600_000
+    mixed = spark.range(0, n, 1, 8).select((F.pmod(F.col("id") * 7919, F.lit(n)) / 8).alias("v"))
+    places = {0.0: 0, 0.5: n // 2, 0.95: 570_000, 0.99: 594_000, 1.0: n - 1, 2.0: n, -1.0: -1}
+    assert {r.share: r.value for r in search.nth_values(mixed, "v", places).collect()} == {s: p / 8 for s, p in places.items() if 0 <= p < n}
+    odd = [float("-inf")] * 7 + [-0.0, 0.0] * 5 + [1.0] * 9 + [1.5, 2.5] + [float("inf")] * 8 + [float("nan")] * 3
+    rows = spark.createDataFrame([(x,) for x in odd[::-1]] + [(None,)], "v double")
+    got = {r.share: r.value for r in search.nth_values(rows, "v", {float(k): k for k in range(len(odd) + 1)}).collect()}
+    assert np.array_equal([got.pop(float(k)) for k in range(len(odd))], odd, equal_nan=True) and not got
+    assert search.nth_values(rows.limit(0), "v", {0.5: 0}).count() == 0
+
+
 def test_quantizer(spark):
     rows = spark.createDataFrame([(1, [0.0, 3.0]), (2, [1.0, 3.0]), (3, [0.4999, 3.0])], VEC)
     trained = {r.pos: (r.min_val, r.max_val, r.scale) for r in quantization.train(rows).collect()}
